@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .near_duplicates import op4_near_duplicates
 from .packing import op10_best_fit_packing
 from .quality_rules import op1_quality_rules
 from .source_mix import SOURCE_MIX_SQL, op2_source_mix
@@ -9,6 +10,7 @@ from .source_mix import SOURCE_MIX_SQL, op2_source_mix
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
+    "op4_near_duplicates": op4_near_duplicates,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
