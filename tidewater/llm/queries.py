@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .near_duplicates import op4_near_duplicates
+from .nearest import op7_nearest
 from .packing import op10_best_fit_packing
 from .quality_rules import op1_quality_rules
+from .secrets import op6_secrets
 from .source_mix import SOURCE_MIX_SQL, op2_source_mix
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_secrets": op6_secrets,
+    "op7_nearest": op7_nearest,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
