@@ -309,5 +309,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """One row of docs for each group of near-duplicates; of rows that share an id, one; rows without an id stay."""
+    kept = near_duplicates(docs, **how).where("kept").select("doc_id").distinct()
+    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return chosen.unionByName(docs.where("doc_id is null"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

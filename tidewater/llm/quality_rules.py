@@ -97,10 +97,9 @@ def _repeated_words(words: Column, width: int) -> Column:
     return F.when(F.size(words) <= width, F.lit(0).cast("long")).otherwise(bound(windows, counted))
 
 
-def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of integer statistics for each document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    staged = docs.select(F.col(id_col), text.alias("_text"))
+def document_stats(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The kept columns and integer statistics of each document."""
+    staged = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     text = F.col("_text")
 
     def measured(words: Column) -> Column:
@@ -118,7 +117,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     with_words = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
     out = staged.select(
-        id_col,
+        *kept,
         bound(words_column(text), measured).alias("_w"),
         bound(with_words, lines).alias("_l"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
@@ -128,7 +127,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _count_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
     )
     return out.select(
-        id_col, "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words",
+        *kept, "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words",
         "_l.n_lines", "_w.n_distinct_words", "n_exclaim", "n_digits", "n_upper",
     )
 
@@ -249,24 +248,37 @@ def as_expression(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(0))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, **learning) -> tuple[DataFrame, list[Rule]]:
-    """Every document's statistics, base_failed, the first rule that rejects it (0: none) and kept; the rules."""
-    stats = written(document_stats(docs), "stats")
-    rated = with_ratios(stats)
+def _rules(stats: DataFrame, labels: DataFrame, **learning) -> list[Rule]:
+    """stats: of document_stats."""
     known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", (1 - F.col("quality")).cast("int").alias("bad"))
-    labelled = rated.where(~base_failed()).join(known, "doc_id").select(
+    labelled = with_ratios(stats).where(~base_failed()).join(known, "doc_id").select(
         "bad", *RATIOS, F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold")
     )
-    rules = learn_rules(written(labelled, "labelled"), **learning)
+    return learn_rules(written(labelled, "labelled"), **learning)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, **learning) -> tuple[DataFrame, list[Rule]]:
+    """Every document's statistics, base_failed, the first rule that rejects it (0: none) and kept; the rules."""
+    stats = written(document_stats(docs), "stats")
+    rules = _rules(stats, labels, **learning)
     judged = (
-        rated.withColumn("base_failed", base_failed())
+        with_ratios(stats).withColumn("base_failed", base_failed())
         .withColumn("rule", as_expression(rules))
         .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
         .drop(*RATIOS)
-    )
+    )
     return judged, rules
 
 
+def accepted(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
+    """The rows of docs that are kept. Texts are measured once and never shuffled: they are written beside their statistics."""
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("_doc")
+    held = written(document_stats(docs.select(whole, "text", "doc_id"), ("_doc", "doc_id")), "measured")
+    rules = _rules(held.drop("_doc"), labels, **learning)
+    judged = with_ratios(held)
+    return judged.where(~base_failed() & (as_expression(rules) == 0)).select("_doc.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     judged, _ = quality_rules(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .near_duplicates import op4_near_duplicates
 from .nearest import op7_nearest
 from .packing import op10_best_fit_packing
+from .passages import op8_passages
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op1_quality_rules
 from .secrets import op6_secrets
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_training_order": op5_training_order,
     "op6_secrets": op6_secrets,
     "op7_nearest": op7_nearest,
+    "op8_passages": op8_passages,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

@@ -58,8 +58,8 @@ def uniform(id_col: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def pareto_mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
-    """sized: doc_id, source, size (a written table: it is read more than once). targets: of mix_targets."""
+def pareto_mix(sized: DataFrame, targets: DataFrame, seed: int = 17, carried: tuple[str, ...] = ()) -> DataFrame:
+    """sized: doc_id, source, size and what is carried (a written table: it is read more than once). targets: of mix_targets."""
     gauge = F.floor(F.sqrt(F.col("size"))).cast("long")
     sums = sized.groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum(F.col("size") * gauge).alias("gauged")
@@ -92,7 +92,7 @@ def pareto_mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFram
         .select(F.col("source").alias("_s"), F.col("m.slice").alias("last_slice"), F.col("m.before").alias("before"))
     )
     placed = ranked.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    kept = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    kept = ["doc_id", "source", "size", "source_size", "target", "copies", *carried]
     open_slice = F.coalesce((F.col("slice") == F.col("last_slice")) & (F.col("copies") < MAX_COPIES), F.lit(False))
     clear = placed.where(~open_slice).select(*kept, F.coalesce((F.col("slice") < F.col("last_slice")).cast("long"), F.lit(0)).alias("more"))
     inside = Window.partitionBy("source").orderBy("rank_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +103,7 @@ def pareto_mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFram
         "doc_id", "size", "source_size", "target",
         (F.col("size") * (F.col("copies") + F.when(F.col("copies") < MAX_COPIES, F.col("more")).otherwise(0))).alias("taken"),
         F.when(F.col("size") > 0, F.col("copies") + F.when(F.col("copies") < MAX_COPIES, F.col("more")).otherwise(0)).otherwise(0).alias("n_copies"),
-        "source",
+        "source", *carried,
     )
 
 
@@ -111,11 +111,22 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.size(words_column("text")).cast("long").alias("size"))
 
 
+def _mixed(sized: DataFrame, seed: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    targets = mix_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    return pareto_mix(sized, targets, seed, carried)
+
+
 def source_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken, n_copies and source of every document."""
-    sized = written(sizes(docs), "sizes")
-    targets = mix_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    return pareto_mix(sized, targets, seed)
+    return _mixed(written(sizes(docs), "sizes"), seed)
+
+
+def mixture(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """docs, with each row as many times as the mix takes it. Rows are told apart by a number written with them."""
+    held = written(docs.withColumns({"_row": F.monotonically_increasing_id(), "_size": F.size(words_column("text")).cast("long")}), "to-mix")
+    sized = held.select("doc_id", "source", F.col("_size").alias("size"), "_row")
+    times = _mixed(sized, seed, ("_row",)).where("n_copies > 0").select("_row", F.col("n_copies").cast("int").alias("_n"))
+    return held.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
