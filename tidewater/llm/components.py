@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -43,7 +43,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     mark = _mark(now)
     while mark[0]:
-        now = written(_stars(now), "links")
+        before, now = now, written(_stars(now), "links")
+        dropped(before)
         if (new := _mark(now)) == mark:
             break
         mark = new

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import ASCII_LOWER, WordHashes, mixed, table, window_hashes, written
+from .shared import ASCII_LOWER, WordHashes, dropped, mixed, table, window_hashes, written
+from .subset import measured_of
 
 WIDTH = 5
 PERCENT = 75
@@ -80,7 +81,7 @@ def sketch(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the set; null if empty), sketch (the tokens to branch by), code (a byte of each token) and lowest (the upper halves of the smallest elements)."""
+    """doc_id, n_shingles, set_key (128 bits of the set; null if empty), sketch (the tokens to branch by) and code (a byte of each token)."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, factors = WordHashes(), _multipliers(TOKENS)
@@ -89,16 +90,15 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for text in batch["text"]:
                 found = shingles(text, width, known)
                 if not len(found):
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None, None))
                     continue
                 drawn = sketch(found, factors)
-                lowest = (found[:LOWEST] >> np.uint64(32)).astype("<u4")
-                rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), drawn[:POSITIONS].tobytes(), drawn.astype("u1").tobytes(), lowest.tobytes()))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "sketch", "code", "lowest"])
+                rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), drawn[:POSITIONS].tobytes(), drawn.astype("u1").tobytes()))
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "sketch", "code"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(measure, "doc_id long, n_shingles long, set_key binary, sketch binary, code binary, lowest binary")
+    return docs.select("doc_id", "text").mapInPandas(measure, "doc_id long, n_shingles long, set_key binary, sketch binary, code binary")
 
 
 def _children(keys: np.ndarray, tokens: np.ndarray, rows: np.ndarray, sparse: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -208,23 +208,37 @@ def _near_in_nodes(nodes: DataFrame, tasks: int, agree: int, percent: int) -> Da
     return nodes.select(part, "key", "rep", "label", "n_shingles", "code", "lowest").groupBy("part").applyInPandas(compare, "a long, b long")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    def measure(batch: pd.DataFrame) -> pd.DataFrame:
         known = WordHashes()
-        for batch in batches:
-            found = [shingles(t, width, known).astype(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["doc_id"], "items": found})
+        return pd.DataFrame({"id": batch["doc_id"], "items": [shingles(t, width, known).astype(np.int64) for t in batch["text"]]})
+
+    return measured_of(docs, ids, measure, "id long, items array<long>")
+
+
+def _lowest(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """The size of a document's set and the upper halves of its smallest elements."""
+
+    def measure(batch: pd.DataFrame) -> pd.DataFrame:
+        known = WordHashes()
+        found = [shingles(t, width, known) for t in batch["text"]]
+        lowest = [(x[:LOWEST] >> np.uint64(32)).astype("<u4").tobytes() for x in found]
+        return pd.DataFrame({"rep": batch["doc_id"], "n_shingles": [len(x) for x in found], "lowest": lowest})
 
-    return docs.select("doc_id", "text").mapInPandas(measure, "id long, items array<long>")
+    drawn = measured_of(docs, ids, measure, "rep long, n_shingles long, lowest binary").where("n_shingles > 0")
+    return drawn.groupBy("rep").agg(F.max(F.struct("n_shingles", "lowest")).alias("x")).select("rep", "x.n_shingles", "x.lowest")
 
 
 def confirm(near: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """near: pairs (a, b), a written table. Those whose full sets are similar enough."""
-    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    full = written(_sets(docs.join(ids, "doc_id", "left_semi"), width), "sets")
+    ids = written(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), "ids")
+    full = written(_sets(docs, ids, width), "sets")
     both = near.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    links = both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    out = written(links, "confirmed")
+    dropped(ids, full)
+    return out
 
 
 class _Links:
@@ -243,7 +257,7 @@ class _Links:
         if near.isEmpty():
             return
         self.tested = near if self.tested is None else self.tested.unionByName(near)
-        new = written(confirm(near, self.docs, self.width, self.percent), "confirmed")
+        new = confirm(near, self.docs, self.width, self.percent)
         if not new.isEmpty():
             self.found = new if self.found is None else self.found.unionByName(new)
             self.labels = written(components(self.found), "labels")
@@ -260,9 +274,11 @@ def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, trees: in
     links = _Links(docs, width, percent)
     rows = written(_planted(reps, trees, start), "nodes")
     for depth in range(start, MAX_DEPTH + 1):
-        least = F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep"))["rep"]
-        shared = rows.groupBy("key").agg(F.count("*").alias("n"), least.alias("lead")).where("n > 1")
+        # the lead, whose id differs least from the key, is another set in other nodes
+        least = F.min(F.col("rep").bitwiseXOR(F.col("key"))).bitwiseXOR(F.col("key"))
+        shared = rows.groupBy("key").agg(F.count("*").alias("n"), least.alias("lead")).where("n > 1").select("key", "lead")
         nodes = written(rows.join(shared, "key").select("key", "rep", "lead"), "shared-nodes")
+        dropped(rows)
         star = nodes.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         links.add(_near(star, reps, agree))
         named = nodes.join(links.labels.withColumnRenamed("id", "rep"), "rep", "left").select(
@@ -275,16 +291,22 @@ def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, trees: in
         undone = written(named.join(several, "key"), "undone-nodes")
         small = undone.where(F.col("all") <= SMALL)
         if n := small.count():
-            described = small.join(reps.select("rep", "n_shingles", "code", "lowest"), "rep")
+            ids = written(small.select(F.col("rep").alias("id")).distinct(), "ids")
+            lowest = written(_lowest(docs, ids, width), "lowest")
+            described = small.join(reps.select("rep", "code"), "rep").join(lowest, "rep")
             links.add(_near_in_nodes(described, -(-n // BATCH_ROWS) + 11, agree, percent))
+            dropped(ids, lowest)
         large = undone.where(F.col("all") > SMALL)
         few = large if depth == MAX_DEPTH else large.where(F.col("out") <= OUTSIDE)
         if not few.isEmpty():
             links.add(_near(_across(few), reps, agree))
         many = large.where(F.col("out") > OUTSIDE)
-        if depth == MAX_DEPTH or many.isEmpty():
+        done = depth == MAX_DEPTH or many.isEmpty()
+        if not done:
+            rows = written(_branched(many.select("key", "rep").join(reps.select("rep", "sketch"), "rep")), "nodes")
+        dropped(nodes, undone)
+        if done:
             break
-        rows = written(_branched(many.select("key", "rep").join(reps.select("rep", "sketch"), "rep")), "nodes")
     return links.labels
 
 
@@ -295,7 +317,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     reps = written(
         drawn.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "code", "lowest"))),
+        .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("sketch", "code"))),
         "representatives",
     )
     labels = linked(docs, reps, width, percent, trees)

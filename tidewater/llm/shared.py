@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -18,6 +20,7 @@ ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 _LOCAL: list[str] = []
+_OPEN: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,10 +40,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: its lineage is cut and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewater/{label}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def made_tables() -> Iterator[list[str]]:
+    """The paths of the tables that written() makes meanwhile."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+
+
+def removed(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes tables that written() made, when nothing reads them any more."""
+    for df in frames:
+        removed(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tidewater/" in f})
+
+
 def words_column(text: Column | str) -> Column:
     """The words of a text as an array, by SQL functions alone; null gives no words."""
     parts = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE)
