@@ -28,7 +28,7 @@ from .shared import table, words_column, written
 SHARE_PERCENT = 150
 MAX_COPIES = 2
 WEIGHTS = (3, 1, 2)
-SLICE = 50_000
+SLICE = 4_096
 
 
 def mix_targets(by_source: DataFrame, percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES, weights=WEIGHTS) -> DataFrame:
@@ -95,7 +95,8 @@ def pareto_mix(sized: DataFrame, targets: DataFrame, seed: int = 17, carried: tu
     kept = ["doc_id", "source", "size", "source_size", "target", "copies", *carried]
     open_slice = F.coalesce((F.col("slice") == F.col("last_slice")) & (F.col("copies") < MAX_COPIES), F.lit(False))
     clear = placed.where(~open_slice).select(*kept, F.coalesce((F.col("slice") < F.col("last_slice")).cast("long"), F.lit(0)).alias("more"))
-    inside = Window.partitionBy("source").orderBy("rank_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # a struct, so that the rows are dealt anew: a join on source and a window on it would share one task for each source
+    inside = Window.partitionBy(F.struct("source")).orderBy("rank_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     at_end = placed.where(open_slice).select(*kept, (ahead + F.col("size") / 2 <= F.col("budget")).cast("long").alias("more"))
     out = clear.unionByName(at_end)
