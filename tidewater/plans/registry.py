@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import features, ranking  # noqa: F401  (importing ranking registers its queries)
+
 FLAGSHIP = "features_wide"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES = features.QUERIES
+ORACLE_SQL = features.SQL
