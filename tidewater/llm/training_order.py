@@ -7,6 +7,9 @@ storing an order, and any slot's sequence can be found by the inverse. Slots are
 shards; a shard is a file in which row r starts at byte r times the stride, padded with the closing
 id, so reading goes on from any slot with one seek.
 
+Slots are dealt in PASSES ranges, one after the other, so that only a part of all sequences is in a shuffle
+at a time, and what a range's shuffle leaves on disk can go before the next one.
+
 A shard is written under a name of its own and then renamed, and a shard that is there already is left
 as it is: repeated and speculative tasks give the same files.
 
@@ -16,6 +19,7 @@ sequences each; an empty table gives no shards.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,16 +31,16 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .packing import END_ID, cut
-from .shared import mixed, shared_folder, table, written
+from .shared import dropped, mixed, shared_folder, table, written
 from .tokens import encoder, public_vocabulary
 
 CONTEXT = 512
 SHARD_ROWS = 8192
 ROUNDS = 6
 KEY = 20240229
+PASSES = 6
 BITS = 36
 #: How an id is stored. The public vocabularies have fewer than 65,536 ids.
 ID = np.dtype("<u2")
@@ -66,7 +70,7 @@ def sequences(docs: DataFrame, vocabulary=None, context: int = CONTEXT) -> DataF
     how = vocabulary or public_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, press = encoder(*how), zstandard.ZstdCompressor(level=1)
+        enc, press = encoder(*how), zstandard.ZstdCompressor(level=3)
         item = TaskContext.get().partitionId() << BITS
         for batch in batches:
             rows = []
@@ -89,27 +93,37 @@ def numbered(items: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(sums.select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     n = bases.agg(F.sum("n")).first()[0] or 0
-    dense = items.withColumn("part", part).join(bases.select("part", "base"), "part").withColumn(
+    # the bases are broadcast: one row of two numbers for each task of sequences()
+    dense = items.withColumn("part", part).join(F.broadcast(bases.select("part", "base")), "part").withColumn(
         "index", F.col("base") + F.col("item").bitwiseAND(F.lit((1 << BITS) - 1))
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(slot=permuted(batch["index"].to_numpy(), n, key))
+    @F.pandas_udf("long")
+    def slot(index: pd.Series) -> pd.Series:
+        return pd.Series(permuted(index.to_numpy(), n, key))
 
-    kept = dense.drop("part", "base", "item")
-    return kept.mapInPandas(run, StructType([*kept.schema.fields, StructField("slot", LongType())])), n
+    return dense.withColumn("slot", slot("index")).drop("part", "base", "item", "index"), n
 
 
 def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
-def materialise(ordered: DataFrame, n: int, folder: str, context: int = CONTEXT, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Writes ordered (with slots below n) as shards to folder. Returns where each sequence went."""
+def materialise(ordered: DataFrame, n: int, folder: str, context: int = CONTEXT, shard_rows: int = SHARD_ROWS, passes: int = PASSES) -> DataFrame:
+    """Writes ordered (with slots below n) as shards to folder. Returns where each sequence went, a written table for each pass."""
+    jvm = ordered.sparkSession._jvm
     shards = max(1, -(-n // shard_rows))
-    slots = ordered.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
-    ranged = slots.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    each, done = -(-shards // passes), None
+    for first in range(0, shards, each):
+        part = written(_shards(ordered, first, min(each, shards - first), folder, context, shard_rows), "manifest")
+        done = part if done is None else done.unionByName(part)
+        gc.collect()
+        jvm.System.gc()  # Spark deletes a shuffle's files when its plan has been collected
+    return done
+
+
+def _shards(ordered: DataFrame, first: int, n: int, folder: str, context: int, shard_rows: int) -> DataFrame:
+    """Writes n shards from the first on."""
     schema = "doc_id long, piece int, slot long, shard int, row long, byte_offset long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,6 +154,8 @@ def materialise(ordered: DataFrame, n: int, folder: str, context: int = CONTEXT,
             yield batch.assign(row=rows, byte_offset=rows * context * ID.itemsize)[[c.split()[0] for c in schema.split(", ")]]
         close()
 
+    slots = ordered.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int")).where((F.col("shard") >= first) & (F.col("shard") < first + n))
+    ranged = slots.repartitionById(n, F.col("shard") - first).sortWithinPartitions("slot")
     return ranged.mapInPandas(run, schema)
 
 
@@ -165,7 +181,9 @@ def read(folder: str, slot: int, n: int, context: int = CONTEXT, shard_rows: int
 def training_order(docs: DataFrame, folder: str, vocabulary=None, key: int = KEY, context: int = CONTEXT, shard_rows: int = SHARD_ROWS) -> DataFrame:
     items = written(sequences(docs, vocabulary, context), "sequences")
     ordered, n = numbered(items, key)
-    return written(materialise(ordered, n, folder, context, shard_rows), "manifest")
+    out = materialise(ordered, n, folder, context, shard_rows)
+    dropped(items)
+    return out
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
