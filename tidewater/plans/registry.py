@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, ranking  # noqa: F401  (importing ranking registers its queries)
+from . import features, ranking, serving  # noqa: F401  (importing them registers their queries)
 
 FLAGSHIP = "features_wide"
 QUERIES = features.QUERIES
