@@ -41,3 +41,49 @@ def scored_list(text: Column, limit: int) -> Column:
     ids = F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(1)), lambda x: x.cast("long"))
     scores = F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(2)), lambda x: x.cast("double"))
     return F.slice(F.arrays_zip(ids.alias("id"), scores.alias("score")), 1, limit)
+
+
+CHUNK = "[a-z0-9]+|[\\u4e00-\\u9fff]+"
+
+
+def seed_terms(query: Column) -> Column:
+    """The chunks of a normalised query, the first and last two characters of Chinese chunks of four or more, and the query without
+    spaces; each once, in that order."""
+
+    def parts(chunk: Column) -> Column:
+        long = chunk.rlike("^[\\u4e00-\\u9fff]{4,}$")
+        return F.when(long, F.array(chunk, F.substring(chunk, 1, 2), F.substring(chunk, -2, 2))).otherwise(F.array(chunk))
+
+    found = F.flatten(F.transform(F.regexp_extract_all(query, F.lit(CHUNK), F.lit(0)), parts))
+    return F.array_distinct(F.filter(F.concat(found, F.array(F.replace(query, F.lit(" "), F.lit("")))), lambda t: t != ""))
+
+
+def bucket_key(term: Column) -> Column:
+    """The two first characters of a term of Latin letters and digits, else the first."""
+    return F.when(term.rlike("^[a-z0-9]+$"), F.substring(term, 1, 2)).otherwise(F.substring(term, 1, 1))
+
+
+def match_score(query: Column, title: Column, content: Column) -> Column:
+    """How well a normalised query matches a text: whole occurrences and shared pairs of characters; 0 for an empty query."""
+    pairs = bigrams(query)
+
+    def share(text: Column) -> Column:
+        return F.size(F.array_intersect(pairs, bigrams(text))) / F.greatest(F.size(pairs), F.lit(1))
+
+    whole = F.when(F.contains(title, query), 3.0).otherwise(0.0) + F.when(F.contains(content, query), 1.0).otherwise(0.0)
+    return F.when(query == "", F.lit(0.0)).otherwise(whole + 2.0 * share(title) + 0.5 * share(F.substring(content, 1, 500)))
+
+
+def topic_tags(text: Column, limit: int = 3) -> Column:
+    """The distinct topics written as #[topic]# or #topic[话题]#, in order, at most limit."""
+    marked = F.regexp_extract_all(text, F.lit(r"#\[[^\]#]{1,40}\]#|#[^#\[\]]{1,40}\[话题\]#"), F.lit(0))
+    bare = F.transform(marked, lambda m: F.trim(F.regexp_replace(m, r"^#\[?|\[话题\]#$|\]#$", "")))
+    return F.slice(F.array_distinct(F.filter(bare, lambda m: m != "")), 1, limit)
+
+
+def shown_title(title: Column, content: Column) -> Column:
+    """The title; without one, a placeholder with the topics of the content."""
+    tags = topic_tags(F.coalesce(content, F.lit("")))
+    named = F.concat(F.lit("(无标题) "), F.array_join(F.transform(tags, lambda t: F.concat(F.lit("#"), t, F.lit("[话题]#"))), " "))
+    clean = F.trim(F.coalesce(title, F.lit("")))
+    return F.when(clean != "", clean).when(F.size(tags) > 0, named).otherwise(F.lit("(无标题)"))

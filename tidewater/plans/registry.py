@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, merging, ranking, serving  # noqa: F401  (importing them registers their queries)
+from . import features, merging, ranking, search, serving  # noqa: F401  (importing them registers their queries)
 
 FLAGSHIP = "features_wide"
 QUERIES = features.QUERIES
