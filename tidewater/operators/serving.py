@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .relational import top_k
 
 
@@ -106,3 +107,62 @@ def pairwise_loss(rows: DataFrame, group: str, score: str, label: str) -> DataFr
         (F.log1p(F.exp(-(F.col(f"a.{score}") - F.col(f"b.{score}")))) * F.abs((F.col("a._g") - F.col("b._g")) * (F.col("a._d") - F.col("b._d")))).alias("l"),
     )
     return pairs.groupBy(group).agg(F.sum("l").alias("l")).join(ideal, group).select(group, (F.col("l") / (F.col("_ideal") + 1e-9)).alias("loss"))
+
+
+def neighbour_recall(history: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """history: user, src, recency. near: src, dst, score. Neighbours of what a user saw, less for older ones, more for those met often; not what was seen."""
+    met = history.join(near, "src").join(history.select("user", F.col("src").alias("dst")).distinct(), ["user", "dst"], "left_anti")
+    decayed = F.sum(F.col("score") / (1 + 0.35 * F.col("recency"))) + 0.035 * (F.count("*") - 1)
+    return top_k(met.groupBy("user", "dst").agg(decayed.alias("score")), "user", [F.desc(F.round("score", 9)), F.col("dst")], k)
+
+
+def suggestions(typed: DataFrame, counted: DataFrame, k: int) -> DataFrame:
+    """typed: typed, distinct. counted: query, n. The best queries that start with what was typed, hold it or share a term with it.
+
+    A query can only hold what was typed where it has its first two characters, and shares a term only where it has the
+    term: both are keys to join on, so no typed text meets the whole catalogue.
+    """
+    t, q = F.col("typed"), F.col("query")
+
+    def keys(value: Column, grams: Column) -> Column:
+        return F.array_distinct(F.concat(F.transform(text.seed_terms(value), lambda x: F.concat(F.lit("t"), x)), F.transform(grams, lambda x: F.concat(F.lit("g"), x))))
+
+    left = typed.where(t != "").select("typed", F.explode(keys(F.trim(t), F.array(F.substring(t, 1, 2)))).alias("key"))
+    singles = F.split(q, "")
+    right = counted.select("query", "n", F.explode(keys(q, F.concat(text.bigrams(q), singles))).alias("key"))
+    pairs = left.join(right, "key").select("typed", "query", "n").distinct()
+    mine = text.seed_terms(F.trim(t))
+    overlap = F.size(F.array_intersect(mine, text.seed_terms(q))) / F.greatest(F.size(mine), F.lit(1))
+    scored = pairs.withColumns({"_s": F.startswith(q, t), "_c": F.contains(q, t), "_o": overlap}).where("_s or _c or _o > 0")
+    score = (
+        F.when(q == t, 18.0).otherwise(0.0) + F.when(F.col("_s"), 9.0).otherwise(0.0) + F.when(F.col("_c"), 2.4).otherwise(0.0)
+        + 5.8 * F.col("_o") + 0.45 * F.log1p("n") - 0.05 * F.abs(F.length(q) - F.length(t))
+    )
+    return top_k(scored.withColumn("score", score), "typed", [F.desc(F.round("score", 9)), F.desc("n"), F.length(q), q], k)
+
+
+def lexical_gate(rows: DataFrame, enough: int) -> DataFrame:
+    """rows: request, item, base, exact, cover, lexical, intent. Adjusted scores; only strong matches where a request has enough, else weaker ones with
+    some evidence too."""
+    c = F.col
+    marked = rows.withColumns({
+        "_strong": (c("exact") == 1) | (c("cover") >= 0.45) | (c("lexical") >= 1.25),
+        "_weak": (c("exact") == 0) & (c("cover") < 0.34),
+        "_hard": (c("exact") == 0) & (c("cover") < 0.20) & (c("lexical") < 0.80),
+    })
+    score = (
+        c("base") + 1.55 * c("exact") + 0.32 * c("lexical") + 1.60 * c("cover") + 0.85 * c("_strong").cast("int") + 0.42 * c("intent")
+        - 0.72 * c("_weak").cast("int") - 2.20 * c("_hard").cast("int")
+    )
+    n_strong = F.count(F.when(c("_strong"), 1)).over(Window.partitionBy("request"))
+    kept = marked.withColumns({"score": score, "_n": n_strong}).where(c("_strong") | ((c("_n") < enough) & ((c("cover") >= 0.24) | (c("lexical") >= 0.90))))
+    return top_k(kept, "request", [F.desc("_strong"), F.desc(F.round("score", 9)), F.col("item")], 1 << 30)
+
+
+def feed(ranked: DataFrame, seen: DataFrame, items: DataFrame, page: int, size: int, excluded: DataFrame | None = None) -> DataFrame:
+    """One page of each request: what the user has seen loses 0.90, excluded pairs (request, item) go, and items gives the cards' fields."""
+    left = ranked if excluded is None else ranked.join(excluded.select("request", "item").distinct(), ["request", "item"], "left_anti")
+    marked = left.join(seen.select("user", "item").distinct().withColumn("_seen", F.lit(1)), ["user", "item"], "left")
+    final = marked.withColumn("final", F.col("score") - F.when(F.col("_seen").isNotNull(), 0.90).otherwise(0.0))
+    placed = top_k(final, "request", [F.desc(F.round("final", 9)), F.col("item")], page * size, "place").where(F.col("place") > (page - 1) * size)
+    return placed.join(items, "item", "left").select("request", "user", "item", "place", "final", *(c for c in items.columns if c != "item"))

@@ -39,3 +39,8 @@ def mean_vector(rows: DataFrame, group: str, vector: str, weight: Column | None
     w = F.lit(1.0) if weight is None else F.greatest(weight, F.lit(0.0))
     long = rows.select(group, w.alias("w"), F.posexplode(vector).alias("at", "x"))
     return long.groupBy(group, "at").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("value"))
+
+
+def fused(text: Column, image: Column, share: float = 0.72) -> Column:
+    """share of the text vector and the rest of the image's; the text's alone where there is no image."""
+    return F.when(image.isNull(), text).otherwise(F.zip_with(text, image, lambda a, b: share * a + (1 - share) * b))
