@@ -76,6 +76,8 @@ def sequences(docs: DataFrame, vocabulary=None, context: int = CONTEXT) -> DataF
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.append(enc.ids(text), np.uint32(END_ID)).astype("<u4")
+                if ids.max() > np.iinfo(ID).max:
+                    raise ValueError(f"id {ids.max()} does not fit in {ID.itemsize} bytes")
                 for k, (start, n) in enumerate(cut(len(ids), context)):
                     data = ids[start : start + n].tobytes()
                     rows.append((item, doc_id, k, n, zlib.crc32(data), press.compress(ids[start : start + n].astype(ID).tobytes())))
