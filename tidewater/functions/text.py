@@ -87,3 +87,29 @@ def shown_title(title: Column, content: Column) -> Column:
     named = F.concat(F.lit("(无标题) "), F.array_join(F.transform(tags, lambda t: F.concat(F.lit("#"), t, F.lit("[话题]#"))), " "))
     clean = F.trim(F.coalesce(title, F.lit("")))
     return F.when(clean != "", clean).when(F.size(tags) > 0, named).otherwise(F.lit("(无标题)"))
+
+
+# Measures as they are written, with the unit that replaces them.
+UNITS = (("公里|千米", "km"), ("米", "m"), ("公斤|千克", "kg"), ("克", "g"), ("毫升|ml", "ml"), ("升|l", "l"))
+
+
+def measures(text: Column) -> Column:
+    """Numbers with a unit, written together with the short unit; in the order of UNITS."""
+    for words, unit in UNITS:
+        text = F.regexp_replace(text, rf"(\d+(?:\.\d+)?)\s*(?:{words})", f"$1{unit}")
+    return text
+
+
+def search_score(query: Column, title: Column, content: Column) -> Column:
+    """How well a document matches a search: whole occurrences, shared pairs of characters and shares of terms found. All arguments lower-cased."""
+    grams, terms = bigrams(query), seed_terms(query)
+
+    def share(text: Column) -> Column:
+        return F.size(F.array_intersect(grams, bigrams(text))) / F.greatest(F.size(grams), F.lit(1))
+
+    def held(text: Column) -> Column:
+        return F.size(F.filter(terms, lambda t: F.contains(text, t))) / F.greatest(F.size(terms), F.lit(1))
+
+    whole = F.when(F.contains(title, query), 3.2).otherwise(0.0) + F.when(F.contains(content, query), 1.0).otherwise(0.0)
+    found = whole + 1.4 * share(title) + 0.35 * share(F.substring(content, 1, 500)) + 1.7 * held(title) + 0.55 * held(content)
+    return F.when(query == "", F.lit(0.0)).otherwise(found)

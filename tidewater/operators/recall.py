@@ -101,3 +101,26 @@ def sampling(items: DataFrame, power: float = 0.75) -> DataFrame:
 
 def recency(order: list[Column], key: str = "user") -> Column:
     return F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+
+
+def chained(first: DataFrame, others: list[tuple[DataFrame, float, float]], k: int) -> DataFrame:
+    """Routes blended one after the other: each of others is (route, weight, bonus where both have an item)."""
+    out = first.select("request", "item", "score")
+    for route, weight, bonus in others:
+        out = blended(out, route, 1.0, weight, bonus, k).select("request", "item", "score")
+    return out
+
+
+def semantic_rescored(ann: DataFrame, semantic: DataFrame, keep: float = 0.68, weight: float = 1.18) -> DataFrame:
+    """keep of the vector score plus weight of the semantic score scaled within its request; items that only one has count 0 for the other."""
+    scaled = semantic.withColumn("_s", min_max("request", "score", 1.0)).select("request", "item", "_s")
+    both = ann.select("request", "item", F.col("score").alias("_a")).join(scaled, ["request", "item"], "full")
+    return both.select("request", "item", (keep * F.coalesce("_a", F.lit(0.0)) + weight * F.coalesce("_s", F.lit(0.0))).alias("score"))
+
+
+def complement_negatives(recalled: DataFrame, kept: DataFrame, positives: DataFrame, most_rank: int, n: int) -> DataFrame:
+    """Recalled items (request, item, rank) up to most_rank that preranking did not keep and that are no positives, the first n of each request."""
+    gone = kept.select("request", "item").unionByName(positives.select("request", "item")).distinct()
+    rest = recalled.where(F.col("rank") <= most_rank).join(gone, ["request", "item"], "left_anti")
+    first = top_k(rest, "request", [F.col("rank"), F.col("item")], n, "_r")
+    return first.groupBy("request").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "item"))), lambda x: x["item"]).alias("items"))

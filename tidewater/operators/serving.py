@@ -166,3 +166,38 @@ def feed(ranked: DataFrame, seen: DataFrame, items: DataFrame, page: int, size:
     final = marked.withColumn("final", F.col("score") - F.when(F.col("_seen").isNotNull(), 0.90).otherwise(0.0))
     placed = top_k(final, "request", [F.desc(F.round("final", 9)), F.col("item")], page * size, "place").where(F.col("place") > (page - 1) * size)
     return placed.join(items, "item", "left").select("request", "user", "item", "place", "final", *(c for c in items.columns if c != "item"))
+
+
+def linkage_boosts(rows: DataFrame, keywords: Column, tags: Column, search: bool) -> Column:
+    """What a candidate (title, content, tag_1.. columns) gains by the keywords (four at most) and tags of the user's other scene."""
+    in_title, in_content, by_tag = (0.05, 0.02, 0.10) if search else (0.14, 0.06, 0.06)
+    words = F.filter(F.transform(F.slice(keywords, 1, 4), lambda k: F.lower(F.trim(k))), lambda k: k != "")
+
+    def held(column: str) -> Column:
+        value = F.lower(F.coalesce(F.col(column), F.lit("")))
+        return F.size(F.filter(words, lambda k: F.contains(value, k)))
+
+    total = in_title * held("title") + in_content * held("content")
+    for c in rows.columns:
+        if c.startswith("tag_"):
+            total = total + F.when(F.array_contains(tags, F.col(c)), by_tag).otherwise(0.0)
+    return total
+
+
+def padded_sequences(history: DataFrame, vectors: DataFrame, size: int, length: int) -> DataFrame:
+    """history: user, vec_id, recency. vectors: vec_id, v (of length numbers). Each user's vectors, newest first, unknown ones dropped, size at most and then zeros."""
+    known = history.join(vectors, "vec_id")
+    first = top_k(known, "user", [F.col("recency"), F.col("vec_id")], size, "_r")
+    found = first.groupBy("user").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "v"))), lambda x: x["v"]).alias("found"))
+    zeros = F.array_repeat(F.array_repeat(F.lit(0.0), length), F.lit(size) - F.size("found"))
+    return history.select("user").distinct().join(found, "user", "left").withColumn("found", F.coalesce("found", F.array().cast("array<array<double>>"))).select(
+        "user", F.size("found").alias("n"), F.concat("found", zeros).alias("sequence")
+    )
+
+
+def fitted_z_scores(rows: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
+    """(x - mean) / (sd + 1e-6) by the mean and population deviation of train alone; 0 where it has none to speak of."""
+    stats = train.agg(*(f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    out = rows.crossJoin(F.broadcast(stats))
+    scaled = {c: F.when(F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) < 1e-6, 0.0).otherwise((F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + 1e-6)) for c in columns}
+    return out.withColumns(scaled).drop(*stats.columns)

@@ -61,3 +61,24 @@ def accepted(events: DataFrame, seconds: float, watermark: str = "1 minute") ->
 def windowed_counts(events: DataFrame, length: str, watermark: str = "10 minutes") -> DataFrame:
     """Events of each scene and action in tumbling windows, for a stream or a batch."""
     return events.withWatermark("ts", watermark).groupBy(F.window("ts", length), "scene", "action").agg(F.count("*").alias("n"))
+
+
+def front_lists(events: DataFrame, keep: int) -> DataFrame:
+    """The streaming form of front_list: after each batch, the lists of the users that it touched. events: user, note, event_id, ts (timestamp).
+
+    A user's state is its keep newest notes, so it does not grow. Run in update mode.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        notes, seen = state.get if state.exists else ([], [])
+        last = dict(zip(notes, map(tuple, seen), strict=True))
+        for b in batches:
+            for note, ts, event in zip(b["note"], b["ts"], b["event_id"], strict=True):
+                if not pd.isna(note):
+                    last[int(note)] = max(last.get(int(note), (-(1 << 62), 0)), (int(ts.timestamp() * 1e6), int(event)))
+        first = sorted(last, key=lambda n: ([-x for x in last[n]], n))[:keep]
+        state.update((first, [list(last[n]) for n in first]))
+        yield pd.DataFrame({"user": [key[0]], "notes": [first]})
+
+    grouped = events.select("user", "note", "event_id", "ts").groupBy("user")
+    return grouped.applyInPandasWithState(run, "user long, notes array<long>", "notes array<long>, seen array<array<long>>", "update", GroupStateTimeout.NoTimeout)
