@@ -65,3 +65,23 @@ def blend_weights(rows: DataFrame, group: str, a: str, b: str, label: str, steps
     tried = grid.withColumns({"_s": F.round((1 - w) * F.col("_a") + w * F.col("_b"), 9), "_g": F.struct(group, "step")})
     each = ndcg(tried, "_g", "_s", label, k)
     return each.groupBy(F.col("_g.step").alias("step")).agg(F.avg("ndcg").alias("ndcg")).withColumn("weight", F.col("step") / (steps - 1))
+
+
+def drawn(draws: DataFrame, items: DataFrame, slots: int = 4096) -> DataFrame:
+    """draws: any columns and x in [0, 1). items: item, w. Each draw gets the item in whose stretch of the summed weights x lies, in order of item.
+
+    Sums run over ranges of items first and then within them, so no task sums all items; a draw and an item meet in the
+    slots of x that the item's stretch crosses, so the join is by equality.
+    """
+    ranged = items.withColumn("_p", F.pmod(F.floor(F.col("item") / 1024), F.lit(1 << 40)))
+    parts = ranged.groupBy("_p").agg(F.sum("w").alias("_w"))
+    before = F.sum("_w").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")
+    total = parts.agg(F.sum("_w").alias("_all"))
+    run = F.sum("w").over(Window.partitionBy("_p").orderBy("item").rowsBetween(Window.unboundedPreceding, 0))
+    summed = ranged.withColumn("_run", run).join(parts.withColumn("_before", before).drop("_w"), "_p").crossJoin(F.broadcast(total))
+    high = F.round((F.col("_before") + F.col("_run")) / F.col("_all"), 12)
+    low = F.round((F.col("_before") + F.col("_run") - F.col("w")) / F.col("_all"), 12)
+    ends = summed.select("item", low.alias("_low"), high.alias("_high"))
+    crossed = ends.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_low") * slots), F.least(F.floor(F.col("_high") * slots), F.lit(slots - 1)))))
+    met = draws.withColumn("_slot", F.floor(F.col("x") * slots)).join(crossed, "_slot").where((F.col("x") >= F.col("_low")) & (F.col("x") < F.col("_high")))
+    return met.drop("_slot", "_low", "_high")

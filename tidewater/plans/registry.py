@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, linkage, merging, ranking, search, serving, training  # noqa: F401  (importing them registers their queries)
+from . import features, linkage, merging, offline, ranking, search, serving, training  # noqa: F401  (importing them registers their queries)
 
 FLAGSHIP = "features_wide"
 QUERIES = features.QUERIES
