@@ -51,3 +51,10 @@ def test_front_lists_of_a_stream(spark, tmp_path):
     run.awaitTermination(100)
     expected = {r.user: r.notes for r in behaviour.front_list(spark.createDataFrame(rows, schema), 3).collect()}
     assert latest == expected == {1: [4, 1, 3], 2: [4, 1, 3]}
+
+
+def test_hard_negatives_look_no_further_than_the_first(spark):
+    recalled = spark.createDataFrame([(1, i, i) for i in range(1, 12)], "request long, item long, rank int")
+    positives = spark.createDataFrame([(1, i) for i in range(1, 8)], "request long, item long")
+    assert recall.hard_negatives(recalled, positives, 2).first().asDict() == {"request": 1, "items": [8]}
+    assert recall.hard_negatives(recalled, positives, 2, 10).first().asDict() == {"request": 1, "items": [8, 9]}

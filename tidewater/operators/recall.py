@@ -86,9 +86,9 @@ def normed(routes: DataFrame) -> DataFrame:
     return routes.withColumn("norm", min_max(["request", "route"], "score", 1.0))
 
 
-def hard_negatives(recalled: DataFrame, positives: DataFrame, n: int) -> DataFrame:
-    """The first n recalled items of each request that are no positives, as an array in order of rank."""
-    rest = recalled.join(positives.select("request", "item").distinct(), ["request", "item"], "left_anti")
+def hard_negatives(recalled: DataFrame, positives: DataFrame, n: int, most: int = 0) -> DataFrame:
+    """Of the first max(4 n, most) recalled items of each request, the first n that are no positives, as an array in order of rank."""
+    rest = top_k(recalled, "request", [F.col("rank"), F.col("item")], max(4 * n, most), "_q").drop("_q").join(positives.select("request", "item").distinct(), ["request", "item"], "left_anti")
     first = top_k(rest, "request", [F.col("rank"), F.col("item")], n, "_r")
     return first.groupBy("request").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "item"))), lambda x: x["item"]).alias("items"))
 
