@@ -270,6 +270,18 @@ def test_passages(spark, docs, empty):
     assert {(6, 5), (7, 5), (8, 5)} <= copies and passages.passages(empty).count() == 0
 
 
+def test_passages_whose_pieces_come_first_elsewhere(spark):
+    held, lines = prose(21, 52).split(), prose(22, 60).split()
+    rows = [(1, f"{prose(400, 30)} {' '.join(held[:25])} {prose(401, 30)}"), (2, f"{prose(402, 30)} {' '.join(held[25:])} {prose(403, 30)}")]
+    rows += [(i, f"{prose(404 + i, 30)} {' '.join(held)} {prose(420 + i, 30)}") for i in (10, 11)]
+    contents = " ".join(f"{' '.join(lines[i : i + 12])} {prose(440 + i, 9)}" for i in (48, 36, 24, 12, 0))
+    rows += [(20, f"{contents} {' '.join(lines)} {prose(460, 30)}"), (21, f"{prose(461, 30)} {' '.join(lines)} {prose(462, 30)}")]
+    found = {(r.doc_id, r.other_id): r for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found.keys() == {(11, 10), (21, 20)}
+    for (r, n) in ((found[11, 10], 52), (found[21, 20], 60)):
+        assert r.start_word == 30 and r.end_word == 30 + n and r.n_equal == n
+
+
 def test_chains_are_the_best(seed=5):
     r = random.Random(seed)
     for _ in range(30):
