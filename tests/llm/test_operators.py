@@ -282,6 +282,18 @@ def test_passages_whose_pieces_come_first_elsewhere(spark):
         assert r.start_word == 30 and r.end_word == 30 + n and r.n_equal == n
 
 
+def test_edited_passages(spark):
+    rows, r = [], random.Random(8)
+    for at, (every, n) in enumerate((e, n) for e in (5, 6, 8, 10, 20) for n in (52, 100) for _ in range(10)):
+        words = prose(1000 + at, n).split()
+        edited = [f"edit{r.random()}" if i % every == every - 1 else w for i, w in enumerate(words)]
+        rows += [(10 * at + j, f"{prose(3000 + 2 * at + j, 60)} {' '.join(w)} {prose(5000 + 2 * at + j, 60)}") for j, w in enumerate((words, edited))]
+    found = {(r.doc_id, r.other_id) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for group in range(10):
+        caught = sum((10 * at + 1, 10 * at) in found for at in range(10 * group, 10 * group + 10))
+        assert caught >= (4 if group == 0 else 8), group
+
+
 def test_chains_are_the_best(seed=5):
     r = random.Random(seed)
     for _ in range(30):
