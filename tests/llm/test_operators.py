@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -231,6 +232,15 @@ def test_secrets(docs, empty):
     assert changed[5].text == texts[5] and changed[0].text is None
 
 
+@pytest.mark.parametrize("alphabet", [string.hexdigits[:16].upper(), string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits])
+def test_random_secrets_of_any_length_are_novel(alphabet):
+    r, n = random.Random(3), 20
+    for length in (48, 64, 128, 342, 600, 2000):
+        texts = [f"{prose(500 + i, 60)} private_key: {''.join(r.choices(alphabet, k=length))} {prose(600 + i, 60)}" for i in range(n)]
+        # sixteen digits in a row are a pattern's span, to which the candidate is left
+        assert sum(len(secrets.find_spans(t)[1]) > 0 for t in texts) >= 0.9 * n, length
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     v = rng.standard_normal((300, 16)).astype("f4")

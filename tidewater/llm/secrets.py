@@ -4,7 +4,9 @@ Patterns (assign, access, hex) are matched from left to right over whole texts.
 of letters and digits after a sensitive word that no pattern has found. A zstandard compressor is primed
 with a dictionary, which holds the text's own identifiers, the fixed words of CODE_WORDS and the text on
 both sides of the candidate; the candidate's marginal compressed bytes, as a share of its length, are its
-novelty. What follows from its surroundings compresses; what is random does not, and is reported.
+novelty. What follows from its surroundings compresses; what is random does not, and is reported. As zstandard
+codes the letters of long strings by their frequency, a long candidate is also judged by each WINDOW of its
+characters, which are too few for that.
 
 Each text is scanned by itself, so memory is that of one Arrow batch and nothing is shuffled.
 
@@ -40,6 +42,8 @@ IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
 #: How far after a sensitive word a candidate may start, and how much text on each side primes the compressor.
 REACH, AROUND = 48, 2048
 NOVELTY = 0.85
+#: Characters of a long candidate that are judged at once.
+WINDOW = 32
 
 
 def _assignments(text: str, lower: str) -> list[tuple[int, str, int]]:
@@ -57,13 +61,17 @@ def base_spans(text: str, lower: str | None = None) -> list[tuple[int, str, int]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
-def novelty(candidate: str, before: str, after: str, identifiers: str = "") -> float:
-    """Marginal compressed bytes of the candidate for each of its bytes, given what stands around it."""
+def _is_novel(candidate: str, before: str, after: str, identifiers: str = "") -> bool:
+    """Whether the marginal compressed bytes of the candidate, or of a window of it, reach NOVELTY for each byte, given what stands around it."""
     primed = f"{CODE_WORDS} {identifiers} {after} {before}".encode()
     how = zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=19, dict_data=how, write_content_size=False, write_checksum=False, write_dict_id=False)
-    data = candidate.encode()
-    return (len(press.compress(data)) - len(press.compress(b""))) / len(data)
+    empty = len(press.compress(b""))
+    parts = [candidate]
+    if len(candidate) > WINDOW:
+        starts = [*range(0, len(candidate) - WINDOW, WINDOW), len(candidate) - WINDOW]
+        parts += [w for w in (candidate[i : i + WINDOW] for i in starts) if _mixed(w)]
+    return any(len(press.compress(p.encode())) - empty >= NOVELTY * len(p) for p in parts)
 
 
 def _mixed(candidate: str) -> bool:
@@ -89,7 +97,7 @@ def novel_spans(text: str, taken: list[tuple[int, str, int]], lower: str | None
             names = [(i.start(), i[0]) for i in IDENTIFIER.finditer(text)]
         own = " ".join({n for at, n in names[:4096] if not m.start() <= at < m.end()})
         before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-        if novelty(m[0], before, after, own) >= NOVELTY:
+        if _is_novel(m[0], before, after, own):
             found.append((m.start(), "novel", m.end()))
     return found
 
