@@ -241,6 +241,15 @@ def test_random_secrets_of_any_length_are_novel(alphabet):
         assert sum(len(secrets.find_spans(t)[1]) > 0 for t in texts) >= 0.9 * n, length
 
 
+def test_identifiers_of_the_whole_text_are_known():
+    r = random.Random(4)
+    name = "loadShard7xQ2mKd9wRt4ZpV8nB"
+    words = lambda n: " ".join("".join(r.choices(string.ascii_lowercase, k=7)) for _ in range(n))
+    text = f"{words(6000)} {name} {words(1000)} token {name}Pool {words(1000)}"
+    assert secrets.find_spans(text)[1] == [] and secrets.find_spans(text.replace(f" {name} ", " ", 1))[1] != []
+    assert [k for _, k, _ in secrets.find_spans("İ The Bearer is x7Qp2LmV9zRt4KcW8nBd1 and no more")[1]] == ["novel"]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     v = rng.standard_normal((300, 16)).astype("f4")

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,6 +46,7 @@ REACH, AROUND = 48, 2048
 NOVELTY = 0.85
 #: Characters of a long candidate that are judged at once.
 WINDOW = 32
+UPPER = re.compile("[A-Z]+")
 
 
 def _assignments(text: str, lower: str) -> list[tuple[int, str, int]]:
@@ -54,13 +57,19 @@ def _assignments(text: str, lower: str) -> list[tuple[int, str, int]]:
 
 def base_spans(text: str, lower: str | None = None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the patterns' matches, by start, then by kind."""
-    found = _assignments(text, text.lower() if lower is None else lower)
+    found = _assignments(text, _lower(text) if lower is None else lower)
     if "AKIA" in text:
         found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
+def _lower(text: str) -> str:
+    """text in lower case, with every character in its place: A-Z alone where lower() would move them."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else UPPER.sub(lambda m: m[0].lower(), text)
+
+
 def _is_novel(candidate: str, before: str, after: str, identifiers: str = "") -> bool:
     """Whether the marginal compressed bytes of the candidate, or of a window of it, reach NOVELTY for each byte, given what stands around it."""
     primed = f"{CODE_WORDS} {identifiers} {after} {before}".encode()
@@ -74,6 +83,25 @@ def _is_novel(candidate: str, before: str, after: str, identifiers: str = "") ->
     return any(len(press.compress(p.encode())) - empty >= NOVELTY * len(p) for p in parts)
 
 
+class _Identifiers:
+    """The distinct identifiers of a text, found by the runs of three characters that they hold: zstandard matches no fewer."""
+
+    def __init__(self, text: str):
+        found = [(m.start(), m[0]) for m in IDENTIFIER.finditer(text)]
+        self.starts, self.names = [at for at, _ in found], [n for _, n in found]
+        self.count = Counter(self.names)
+        self.holders: dict[str, list[str]] = defaultdict(list)
+        for n in self.count:
+            for run in {n[i : i + 3] for i in range(len(n) - 2)}:
+                self.holders[run].append(n)
+
+    def like(self, candidate: str, start: int, end: int) -> str:
+        """Those that share three characters in a row with the candidate and occur outside it, in an order that is always the same."""
+        inside = Counter(self.names[bisect_left(self.starts, start) : bisect_left(self.starts, end)])
+        near = {n: None for i in range(len(candidate) - 2) for n in self.holders.get(candidate[i : i + 3], ())}
+        return " ".join(n for n in near if self.count[n] > inside[n])
+
+
 def _mixed(candidate: str) -> bool:
     """Letters and digits, several of both: a long word or a long number alone is no secret."""
     digits = sum(c.isdigit() for c in candidate)
@@ -82,11 +110,9 @@ def _mixed(candidate: str) -> bool:
 
 
 def novel_spans(text: str, taken: list[tuple[int, str, int]], lower: str | None = None) -> list[tuple[int, str, int]]:
-    lower = text.lower() if lower is None else lower
-    if len(lower) != len(text) or not any(w in lower for w in SENSITIVE):
-        if len(lower) == len(text):
-            return []
-        lower = text
+    lower = _lower(text) if lower is None else lower
+    if not any(w in lower for w in SENSITIVE):
+        return []
     found, names = [], None
     for m in CANDIDATE.finditer(text):
         if not _mixed(m[0]) or any(s < m.end() and m.start() < e for s, _, e in taken):
@@ -94,8 +120,8 @@ def novel_spans(text: str, taken: list[tuple[int, str, int]], lower: str | None
         if not any(w in lower[max(0, m.start() - REACH) : m.start()] for w in SENSITIVE):
             continue
         if names is None:
-            names = [(i.start(), i[0]) for i in IDENTIFIER.finditer(text)]
-        own = " ".join({n for at, n in names[:4096] if not m.start() <= at < m.end()})
+            names = _Identifiers(text)
+        own = names.like(m[0], m.start(), m.end())
         before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
         if _is_novel(m[0], before, after, own):
             found.append((m.start(), "novel", m.end()))
@@ -105,7 +131,7 @@ def novel_spans(text: str, taken: list[tuple[int, str, int]], lower: str | None
 def find_spans(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """The patterns' spans, and all spans, each by start, then kind."""
     text = text or ""
-    lower = text.lower()
+    lower = _lower(text)
     base = base_spans(text, lower)
     more = novel_spans(text, base, lower)
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1])))
