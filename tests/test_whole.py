@@ -1,0 +1,25 @@
+"""Queries over whole tables against their smaller fellows' SQL, with its limits lifted here."""
+
+import duckdb
+import pytest
+
+import __spark_entry__
+
+from test_queries import DIR, TABLES, rows
+
+LIFTED = {
+    "swing_index": [("r <= 20)", "r <= 300)"), ("q <= 20)", "q <= 300)")],
+    "usercf_index": [("r <= 20)", "r <= 300)"), ("q <= 20)", "q <= 500)")],
+    "usercf_recall": [("r <= 20)", "r <= 300)"), ("q <= 20)", "q <= 500)")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(LIFTED))
+def test_whole_query_matches_lifted_sql(spark, name):
+    con, sql = duckdb.connect(), __spark_entry__.oracle_sql()[name]
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    for old, new in LIFTED[name]:
+        assert old in sql
+        sql = sql.replace(old, new)
+    assert rows(__spark_entry__.queries()[f"{name}_whole"](spark, DIR).toPandas()) == rows(con.sql(sql).df())

@@ -17,9 +17,9 @@ HIST = f"""his as (select * from (select user_id as u, item as i, row_number() o
   from imp join req using (request) where click > 0) where rec < 20)"""
 
 
-def graph(spark: SparkSession, d: str) -> DataFrame:
+def graph(spark: SparkSession, d: str, items_a_user: int = 20, users_an_item: int = 20) -> DataFrame:
     rows = labelled(spark, d).join(requests(spark, d), "request").select("user", "item", F.col("y").alias("label"))
-    return recall.trimmed(recall.edges(rows), 20, 20)
+    return recall.trimmed(recall.edges(rows), items_a_user, users_an_item)
 
 
 @query(f"""with {EDGE}, n as (select u, 1 / sqrt(count(*)) as w from e group by 1), x as (select u, i, w from e join n using (u)),
@@ -47,12 +47,31 @@ def usercf_index(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {USERCF}, f as (select uu.u, e.i, sum(uu.score * e.s) as score from uu join e on e.u = uu.v group by 1, 2)
 select u as "user", i as item, round(score, 6) as score from (select *, row_number() over (partition by u order by round(score, 9) desc, i) as r from f) where r <= 30""")
 def usercf_recall(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d)
+    return recalled(graph(spark, d))
+
+
+def recalled(g: DataFrame) -> DataFrame:
     near = recall.usercf(g).select("user", "other", F.col("score").alias("sim"))
     found = near.join(g.select(F.col("user").alias("other"), "item", "score"), "other").groupBy("user", "item").agg(F.sum(F.col("sim") * F.col("score")).alias("score"))
     return top_k(found, "user", [F.desc(F.round("score", 9)), F.col("item")], 30).select("user", "item", F.round("score", 6).alias("score"))
 
 
+# The same with the reference's limits in production, for which DuckDB is too slow on whole tables.
+@query()
+def swing_index_whole(spark: SparkSession, d: str) -> DataFrame:
+    return recall.swing(graph(spark, d, 300, 300)).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+@query()
+def usercf_index_whole(spark: SparkSession, d: str) -> DataFrame:
+    return recall.usercf(graph(spark, d, 300, 500)).select("user", "other", F.round("score", 6).alias("score"))
+
+
+@query()
+def usercf_recall_whole(spark: SparkSession, d: str) -> DataFrame:
+    return recalled(graph(spark, d, 300, 500))
+
+
 def history(spark: SparkSession, d: str) -> DataFrame:
     rows = impressions(spark, d).where("click > 0").join(requests(spark, d), "request")
     return rows.select("user", "item", recall.recency([F.desc("ts"), F.desc("request"), F.col("item")]).alias("recency")).where("recency < 20")
