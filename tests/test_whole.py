@@ -1,9 +1,11 @@
 """Queries over whole tables against their smaller fellows' SQL, with its limits lifted here."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
+from tidewater.operators import vectors
 
 from test_queries import DIR, TABLES, rows
 
@@ -11,6 +13,7 @@ LIFTED = {
     "swing_index": [("r <= 20)", "r <= 300)"), ("q <= 20)", "q <= 300)")],
     "usercf_index": [("r <= 20)", "r <= 300)"), ("q <= 20)", "q <= 500)")],
     "usercf_recall": [("r <= 20)", "r <= 300)"), ("q <= 20)", "q <= 500)")],
+    "vector_top_k": [("vec_id < 20", "vec_id % 50 = 0")],
 }
 
 
@@ -23,3 +26,19 @@ def test_whole_query_matches_lifted_sql(spark, name):
         assert old in sql
         sql = sql.replace(old, new)
     assert rows(__spark_entry__.queries()[f"{name}_whole"](spark, DIR).toPandas()) == rows(con.sql(sql).df())
+
+
+def test_cells_are_searched_for_every_fiftieth_vector(spark):
+    found = __spark_entry__.queries()["cell_top_k"](spark, DIR).select("query_id").distinct().collect()
+    assert {r.query_id for r in found} == {r.vec_id for r in spark.read.parquet(f"{DIR}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+
+
+def test_blocks_find_the_nearest(spark):
+    data = np.random.default_rng(2).normal(size=(300, 6))
+    data[20:40] = data[19]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)] + [(900, None), (901, [None] * 6), (902, [1.0])], "vec_id long, v array<double>")
+    found = {}
+    for r in vectors.blocked_top_k(v.where("vec_id % 3 = 0").toDF("query_id", "q"), v, 5, 40, 30).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    best = lambda i: sorted((j for j in range(300) if j != i), key=lambda j: (-round(float(data[j] @ data[i]), 9), j))[:5]
+    assert found == {i: set(best(i)) for i in range(0, 300, 3)}

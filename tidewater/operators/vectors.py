@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,34 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, score: Column, o
     return top_k(scored, "query_id", [F.desc(F.round("score", 9)), F.col("vec_id")], k)
 
 
+def blocked_top_k(queries: DataFrame, vectors: DataFrame, k: int, vector_block: int = 8192, query_block: int = 2048) -> DataFrame:
+    """queries: query_id, q. vectors: vec_id, v. The k largest inner products of each query with other vectors of its dimension.
+
+    Both are dealt to blocks by their ids' hashes, and each pair of blocks is one group: neither may be broadcast, however
+    many there are. Null vectors and those with null components take no part.
+    """
+    fine = lambda df, v: df.where(F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull())).withColumn(v, F.col(v).cast("array<double>")).withColumn("dim", F.size(v))
+    queries, vectors = fine(queries.select("query_id", "q"), "q"), fine(vectors.select("vec_id", "v"), "v")
+    across, down = max(1, -(-vectors.count() // vector_block)), max(1, -(-queries.count() // query_block))
+    share = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumn("a", share("vec_id", across)).withColumn("b", every(down))
+    right = queries.withColumn("b", share("query_id", down)).withColumn("a", every(across))
+
+    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
+        if len(rows) and len(asked):
+            v, ids = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
+            for own, q in zip(asked["query_id"], asked["q"], strict=True):
+                score, other = v @ q, ids != own
+                best = np.lexsort((ids[other], -np.round(score[other], 9)))[:k]
+                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[other][best], "score": score[other][best]}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    found = left.groupBy("dim", "a", "b").cogroup(right.groupBy("dim", "a", "b")).applyInPandas(search, "query_id long, vec_id long, score double")
+    return top_k(found, "query_id", [F.desc(F.round("score", 9)), F.col("vec_id")], k)
+
+
 def mean_vector(rows: DataFrame, group: str, vector: str, weight: Column | None = None) -> DataFrame:
     """Weighted means by position, as long rows: group, at, value."""
     w = F.lit(1.0) if weight is None else F.greatest(weight, F.lit(0.0))

@@ -51,10 +51,10 @@ def blend_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cell_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest of twenty vectors among the cells probed, by exact inner products. Cells are learned, so there is no SQL; tests measure recall."""
+    """The ten nearest of every vector whose id is divisible by 50 among the cells probed, by exact inner products. Cells are learned, so there is no SQL; tests measure recall."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     index = cells.built(v, 16)
-    return cells.searched(index, v.where("vec_id < 20").toDF("query_id", "q"), 10, 6)
+    return cells.searched(index, v.where("vec_id % 50 = 0").toDF("query_id", "q"), 10, 6)
 
 
 @query(f"""with {IMP}, {REQ}, {HIST}, e as (select vec_id, cast(embedding as double[]) as v from embeddings), n as (select count(*) as n from e),
