@@ -71,6 +71,17 @@ def item_vector_recall(spark: SparkSession, d: str) -> DataFrame:
     return serving.neighbour_recall(h, near.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "score"), 20).select("user", F.col("dst").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+@query()
+def item_vector_recall_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the neighbours of every vector that a history holds, searched in blocks; DuckDB is too slow for that on whole tables."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    n = v.agg(F.count("*").alias("n"))
+    h = history(spark, d).crossJoin(F.broadcast(n)).select("user", "recency", (F.col("item") % F.col("n")).alias("src"))
+    asked = v.toDF("query_id", "q").join(h.select(F.col("src").alias("query_id")).distinct(), "query_id", "left_semi")
+    near = vectors.blocked_top_k(asked, v, 10).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "score")
+    return serving.neighbour_recall(h, near, 20).select("user", F.col("dst").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query("""with m as (select vec_id, embedding as t, lead(embedding) over (order by vec_id) as nx from embeddings), f as (select vec_id, cast(t as double[]) as t, cast(case when vec_id % 3 <> 0 then nx end as double[]) as i from m)
 select vec_id, list_transform(case when i is null then t else list_transform(list_zip(t, i), lambda p: 0.72 * p[1] + 0.28 * p[2]) end, lambda x: round(x, 6) + 0.0) as fused from f""")
 def modal_fusion(spark: SparkSession, d: str) -> DataFrame:
