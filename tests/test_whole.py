@@ -10,6 +10,7 @@ from tidewater.operators import vectors
 from test_queries import DIR, TABLES, rows
 
 LIFTED = {
+    "item_search": [(" order by n desc, query limit 20", "")],
     "item_vector_recall": [("a.vec_id < 100 and ", "")],
     "swing_index": [("r <= 20)", "r <= 300)"), ("q <= 20)", "q <= 300)")],
     "usercf_index": [("r <= 20)", "r <= 300)"), ("q <= 20)", "q <= 500)")],
