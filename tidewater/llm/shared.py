@@ -6,13 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Lower-cases A-Z in UTF-8 bytes; other letters stay.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -21,6 +24,7 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 _LOCAL: list[str] = []
 _OPEN: list[list[str]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -69,6 +73,35 @@ def dropped(*frames: DataFrame) -> None:
         removed(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tidewater/" in f})
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, what an action has shuffled is deleted when it ends."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def arrow_mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: str) -> DataFrame:
+    """run gives the columns of each batch, as lists or arrays. Ids go through as Arrow arrays and keep their 64 bits:
+    pandas would make doubles of a long column that holds a null."""
+    want = to_arrow_schema(StructType.fromDDL(schema))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches):
+            arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, want, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=want)
+
+    return df.mapInArrow(whole, schema)
+
+
+def turned(rows: list[tuple], width: int) -> list[list]:
+    """The columns of rows, width of them also where there are no rows."""
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(width)]
+
+
 def words_column(text: Column | str) -> Column:
     """The words of a text as an array, by SQL functions alone; null gives no words."""
     parts = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE)
