@@ -22,11 +22,12 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import table
+from .shared import arrow_mapped, table, turned
 
 # The patterns of the contract, with the least length of what they find.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -46,7 +47,8 @@ REACH, AROUND = 48, 2048
 NOVELTY = 0.85
 #: Characters of a long candidate that are judged at once.
 WINDOW = 32
-UPPER = re.compile("[A-Z]+")
+#: Other letters stay: the sensitive words are of a-z, and lower() may lengthen a text.
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def _assignments(text: str, lower: str) -> list[tuple[int, str, int]]:
@@ -65,9 +67,8 @@ def base_spans(text: str, lower: str | None = None) -> list[tuple[int, str, int]
 
 
 def _lower(text: str) -> str:
-    """text in lower case, with every character in its place: A-Z alone where lower() would move them."""
-    lower = text.lower()
-    return lower if len(lower) == len(text) else UPPER.sub(lambda m: m[0].lower(), text)
+    """text with A-Z in lower case and every character in its place."""
+    return text.lower() if text.isascii() else text.translate(LOWER)
 
 
 def _is_novel(candidate: str, before: str, after: str, identifiers: str = "") -> bool:
@@ -154,33 +155,35 @@ def redacted(text: str, spans: list[tuple[int, str, int]], mark: str = "[REDACTE
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and spans of every row of docs (doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch["text"].to_pylist():
                 base, spans = find_spans(text)
                 counts = [sum(k == kind for _, k, _ in spans) for kind in KINDS]
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            yield [batch["doc_id"], *turned(rows, 6)]
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-    )
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
+    return arrow_mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs, whatever its columns, with all spans of text replaced and n_chars, where there is one, counted anew."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["text"] = [t if t is None else redacted(t, find_spans(t)[1]) for t in batch["text"]]
-            if "n_chars" in batch:
-                batch["n_chars"] = batch["n_chars"].astype("Int64").where(batch["text"].isna(), batch["text"].str.len().astype("Int64"))
+            names = batch.schema.names
+            at, found = names.index("text"), [t if t is None else redacted(t, find_spans(t)[1]) for t in batch["text"].to_pylist()]
+            text = pa.array(found, batch.schema.field(at).type)
+            batch = batch.set_column(at, batch.schema.field(at), text)
+            if "n_chars" in names:
+                field = batch.schema.field("n_chars")
+                counted = pc.if_else(pc.is_null(text), batch["n_chars"], pc.utf8_length(text).cast(field.type))
+                batch = batch.set_column(names.index("n_chars"), field, counted)
             yield batch
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
