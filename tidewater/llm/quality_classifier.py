@@ -18,12 +18,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Forest, fit
-from .shared import ASCII_LOWER, WordHashes, table, window_hashes, written
+from .shared import ASCII_LOWER, WordHashes, arrow_mapped, table, window_hashes, written
 
 MAX_TRAINING = 40_000
 LEVEL = 0.3
@@ -73,12 +73,12 @@ def statistics(text: str | None, known: WordHashes) -> np.ndarray:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and stats (array<double>) of every row of docs (doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         known = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "stats": [statistics(t, known) for t in batch["text"]]})
+            yield [batch["doc_id"], [statistics(t, known) for t in batch["text"].to_pylist()]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, stats array<double>")
+    return arrow_mapped(docs.select("doc_id", "text"), run, "doc_id long, stats array<double>")
 
 
 def held_out() -> Column:
@@ -100,13 +100,14 @@ def train(stats: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
 
 
 def scored(stats: DataFrame, forest: Forest, level: float = LEVEL) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             if len(batch):
-                s = forest.score(np.stack(batch["stats"].to_numpy()))
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": s, "predicted": (s >= level).astype(np.int32)})
+                s = forest.score(batch["stats"].flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1))
+                yield [batch["doc_id"], batch["held_out"], s, (s >= level).astype(np.int32)]
 
-    return stats.select("doc_id", "stats", held_out().alias("held_out")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = stats.select("doc_id", "stats", held_out().alias("held_out"))
+    return arrow_mapped(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
