@@ -3,8 +3,9 @@
 pieces() encodes documents and cuts the long ones; only lengths and checksums are kept. pack() deals
 the pieces to groups of about GROUP items, packs each group by best fit in order of falling length,
 lets nearly full bins go as sequences, and merges the other bins of several groups as items of the next
-round, until one group is left or nothing can merge. Bins so full that not even the emptiest bin fits
-beside them go early. Bins are numbered by round, group and place, so no numbers are handed out
+round, until one group is left or fewer than two bins wait. Bins so full that not even the emptiest bin fits
+beside them go early; where that leaves nearly as many as before, only bins at most half full go on: a group
+leaves one of these at most, so the rounds end soon and never for want of progress. Bins are numbered by round, group and place, so no numbers are handed out
 centrally, and every round is written, so a lost executor repeats a round at most.
 
 Memory: a group's items and capacity + 1 stacks, whatever the number of documents. Groups are dealt by
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import arrow_mapped, table, turned, written
 from .tokens import encoder, public_vocabulary
 
 CAPACITY = 2048
@@ -47,20 +49,20 @@ def pieces(docs: DataFrame, vocabulary=None, capacity: int = CAPACITY) -> DataFr
     """docs: doc_id, text. One row for each piece, with a number (item) that differs from row to row."""
     how = vocabulary or public_vocabulary()
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         enc = encoder(*how)
         item = TaskContext.get().partitionId() << 36
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for at, text in enumerate(batch["text"].to_pylist()):
                 ids = np.append(enc.ids(text), np.uint32(END_ID)).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
-                    rows.append((item, doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
+                    rows.append((item, at, k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
                     item += 1
-            out = pd.DataFrame(rows, columns=["item", "doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            items, places, *others = turned(rows, 6)
+            yield [items, batch["doc_id"].take(pa.array(places, pa.int64())), *others]
 
-    return docs.select("doc_id", "text").mapInPandas(encode, PIECES)
+    return arrow_mapped(docs.select("doc_id", "text"), encode, PIECES)
 
 
 def best_fit(lengths, capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -122,7 +124,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, nearly_
             break
         waiting = open_bins.where(F.col("fill") <= capacity - least).select(F.col("bin").alias("item"), F.col("fill").alias("length"))
         m = waiting.count()
-        if m < 2 or m > 0.99 * n:
+        if m > 0.99 * n:  # few fit beside each other: from here on, the bins of which any two do
+            waiting = waiting.where(F.col("length") <= capacity // 2)
+            m = waiting.count()
+        if m < 2:
             break
         n, level = m, level + 1
     if not rounds:
