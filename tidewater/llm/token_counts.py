@@ -66,11 +66,12 @@ def histogram(counted: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def truncated_total(bars: DataFrame, limit: int) -> int:
-    """Tokens left when every document is cut to limit, which need not be a length that occurs."""
-    row = bars.agg(
-        F.sum(F.col("n_docs") * F.least(F.col("context_limit"), F.lit(limit))).alias("n")
-    ).first()
-    return int(row["n"] or 0)
+    """Tokens left when every document is cut to limit, which need not be a length that occurs: the sums up to the last
+    length that is no longer, and limit tokens of each document above it; below the first length, of every document."""
+    row = bars.where(F.col("context_limit") <= limit).orderBy(F.desc("context_limit")).select("tokens_up_to", "docs_above").first()
+    if row is None:
+        row = bars.orderBy("context_limit").select(F.lit(0), F.col("docs_up_to") + F.col("docs_above")).first() or (0, 0)
+    return int(row[0] + limit * row[1])
 
 
 def quantile(bars: DataFrame, q: float) -> int | None:
