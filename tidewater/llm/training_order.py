@@ -8,24 +8,29 @@ shards; a shard is a file in which row r starts at byte r times the stride, padd
 id, so reading goes on from any slot with one seek.
 
 Slots are dealt in PASSES ranges, one after the other, so that only a part of all sequences is in a shuffle
-at a time, and what a range's shuffle leaves on disk can go before the next one.
+at a time, and what a range's shuffle leaves on disk goes before the next one. A task writes several shards, one
+after the other, where there are more than MAX_TASKS in a range.
 
 A shard is written under a name of its own and then renamed, and a shard that is there already is left
-as it is: repeated and speculative tasks give the same files.
+as it is: repeated and speculative tasks give the same files, and a run that broke off goes on. A mark in the
+folder says of which sequences, in which order, its shards are; a folder of other shards is refused, or emptied
+first with replace.
 
 Defined cases: null and empty texts give one sequence of the closing id alone; repeated rows give
-sequences each; an empty table gives no shards.
+sequences each; an empty table gives no shards; shards of other documents, another key or other sizes in the
+folder are an error.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packing import END_ID, cut
-from .shared import dropped, mixed, shared_folder, table, written
+from .shared import arrow_mapped, dropped, mixed, shared_folder, shuffles_deleted, table, turned, written
 from .tokens import encoder, public_vocabulary
 
 CONTEXT = 512
@@ -41,6 +46,8 @@ SHARD_ROWS = 8192
 ROUNDS = 6
 KEY = 20240229
 PASSES = 6
+MAX_TASKS = 4096
+MARK = "_order.json"
 BITS = 36
 #: How an id is stored. The public vocabularies have fewer than 65,536 ids.
 ID = np.dtype("<u2")
@@ -69,23 +76,23 @@ def sequences(docs: DataFrame, vocabulary=None, context: int = CONTEXT) -> DataF
     """item, doc_id, piece, length, ids_crc32 and ids (compressed) of every sequence of docs (doc_id, text)."""
     how = vocabulary or public_vocabulary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         enc, press = encoder(*how), zstandard.ZstdCompressor(level=3)
         item = TaskContext.get().partitionId() << BITS
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for at, text in enumerate(batch["text"].to_pylist()):
                 ids = np.append(enc.ids(text), np.uint32(END_ID)).astype("<u4")
                 if ids.max() > np.iinfo(ID).max:
                     raise ValueError(f"id {ids.max()} does not fit in {ID.itemsize} bytes")
                 for k, (start, n) in enumerate(cut(len(ids), context)):
                     data = ids[start : start + n].tobytes()
-                    rows.append((item, doc_id, k, n, zlib.crc32(data), press.compress(ids[start : start + n].astype(ID).tobytes())))
+                    rows.append((item, at, k, n, zlib.crc32(data), press.compress(ids[start : start + n].astype(ID).tobytes())))
                     item += 1
-            out = pd.DataFrame(rows, columns=["item", "doc_id", "piece", "length", "ids_crc32", "ids"])
-            yield out.astype({"doc_id": "Int64"})
+            items, places, *others = turned(rows, 6)
+            yield [items, batch["doc_id"].take(pa.array(places, pa.int64())), *others]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "item long, doc_id long, piece int, length long, ids_crc32 long, ids binary")
+    return arrow_mapped(docs.select("doc_id", "text"), run, "item long, doc_id long, piece int, length long, ids_crc32 long, ids binary")
 
 
 def numbered(items: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
@@ -104,32 +111,56 @@ def numbered(items: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), n, key))
 
-    return dense.withColumn("slot", slot("index")).drop("part", "base", "item", "index"), n
+    # as one that may vary, it is computed once a row, not once more in a filter
+    return dense.withColumn("slot", slot.asNondeterministic()("index")).drop("part", "base", "item", "index"), n
 
 
 def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the path there. Spark's names for S3 are known too."""
+    for spark_name in ("s3a://", "s3n://"):
+        if folder.startswith(spark_name):
+            folder = "s3://" + folder[len(spark_name) :]
+    return fs.FileSystem.from_uri(folder)
+
+
+def claim(folder: str, mark: dict, replace: bool = False) -> None:
+    """Marks folder as that of mark's shards, or raises an error if it holds others; with replace these go."""
+    store, root = store_of(folder)
+    path = f"{root}/{MARK}"
+    there = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    if any(f.base_name == MARK for f in there):
+        with store.open_input_file(path) as f:
+            if json.loads(f.read()) == mark:
+                return
+    if there:
+        if not replace:
+            raise FileExistsError(f"{folder} holds other files; name another folder, or replace them")
+        store.delete_dir_contents(root)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(path) as f:
+        f.write(json.dumps(mark).encode())
+
+
 def materialise(ordered: DataFrame, n: int, folder: str, context: int = CONTEXT, shard_rows: int = SHARD_ROWS, passes: int = PASSES) -> DataFrame:
     """Writes ordered (with slots below n) as shards to folder. Returns where each sequence went, a written table for each pass."""
-    jvm = ordered.sparkSession._jvm
     shards = max(1, -(-n // shard_rows))
     each, done = -(-shards // passes), None
     for first in range(0, shards, each):
-        part = written(_shards(ordered, first, min(each, shards - first), folder, context, shard_rows), "manifest")
+        with shuffles_deleted(ordered.sparkSession):
+            part = written(_shards(ordered, first, min(each, shards - first), folder, context, shard_rows), "manifest")
         done = part if done is None else done.unionByName(part)
-        gc.collect()
-        jvm.System.gc()  # Spark deletes a shuffle's files when its plan has been collected
     return done
 
 
-def _shards(ordered: DataFrame, first: int, n: int, folder: str, context: int, shard_rows: int) -> DataFrame:
+def _shards(ordered: DataFrame, first: int, n: int, folder: str, context: int, shard_rows: int, max_tasks: int = MAX_TASKS) -> DataFrame:
     """Writes n shards from the first on."""
-    schema = "doc_id long, piece int, slot long, shard int, row long, byte_offset long, length long, ids_crc32 long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = fs.FileSystem.from_uri(folder)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        store, root = store_of(folder)
         unpress = zstandard.ZstdDecompressor()
         shard, out, temporary = None, None, None
 
@@ -140,7 +171,7 @@ def _shards(ordered: DataFrame, first: int, n: int, folder: str, context: int, s
 
         store.create_dir(root, recursive=True)
         for batch in batches:
-            for at, ids in zip(batch["shard"], batch["ids"], strict=True):
+            for at, ids in zip(batch["shard"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 if at != shard:
                     close()
                     shard, out = at, None
@@ -152,18 +183,19 @@ def _shards(ordered: DataFrame, first: int, n: int, folder: str, context: int, s
                     found = np.frombuffer(unpress.decompress(ids), ID)
                     row[: len(found)] = found
                     out.write(row.tobytes())
-            rows = batch["slot"] % shard_rows
-            yield batch.assign(row=rows, byte_offset=rows * context * ID.itemsize)[[c.split()[0] for c in schema.split(", ")]]
+            rows = batch["slot"].to_numpy() % shard_rows
+            yield [batch["doc_id"], batch["piece"], batch["slot"], batch["shard"], rows, rows * context * ID.itemsize, batch["length"], batch["ids_crc32"]]
         close()
 
     slots = ordered.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int")).where((F.col("shard") >= first) & (F.col("shard") < first + n))
-    ranged = slots.repartitionById(n, F.col("shard") - first).sortWithinPartitions("slot")
-    return ranged.mapInPandas(run, schema)
+    each = -(-n // max_tasks)
+    ranged = slots.repartitionById(-(-n // each), F.floor((F.col("shard") - first) / each).cast("int")).sortWithinPartitions("slot")
+    return arrow_mapped(ranged, run, "doc_id long, piece int, slot long, shard int, row long, byte_offset long, length long, ids_crc32 long")
 
 
 def read(folder: str, slot: int, n: int, context: int = CONTEXT, shard_rows: int = SHARD_ROWS) -> Iterator[np.ndarray]:
     """The ids (padded) of n sequences from slot on, as far as there are shards."""
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = store_of(folder)
     stride = context * ID.itemsize
     while n > 0:
         path = shard_path(root, slot // shard_rows)
@@ -180,9 +212,14 @@ def read(folder: str, slot: int, n: int, context: int = CONTEXT, shard_rows: int
         slot, n = slot + done, n - done
 
 
-def training_order(docs: DataFrame, folder: str, vocabulary=None, key: int = KEY, context: int = CONTEXT, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def training_order(
+    docs: DataFrame, folder: str, vocabulary=None, key: int = KEY, context: int = CONTEXT, shard_rows: int = SHARD_ROWS, replace: bool = False
+) -> DataFrame:
+    """Writes docs (doc_id, text) as shards to folder. Returns where each sequence went."""
     items = written(sequences(docs, vocabulary, context), "sequences")
     ordered, n = numbered(items, key)
+    content = items.agg(F.sum(F.xxhash64("item", "doc_id", "piece", "ids_crc32").cast("decimal(38,0)"))).first()[0]
+    claim(folder, {"sequences": n, "content": str(content), "key": key, "context": context, "shard_rows": shard_rows}, replace)
     out = materialise(ordered, n, folder, context, shard_rows)
     dropped(items)
     return out
