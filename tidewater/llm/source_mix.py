@@ -123,11 +123,13 @@ def source_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def mixture(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """docs, with each row as many times as the mix takes it. Rows are told apart by a number written with them."""
-    held = written(docs.withColumns({"_row": F.monotonically_increasing_id(), "_size": F.size(words_column("text")).cast("long")}), "to-mix")
-    sized = held.select("doc_id", "source", F.col("_size").alias("size"), "_row")
-    times = _mixed(sized, seed, ("_row",)).where("n_copies > 0").select("_row", F.col("n_copies").cast("int").alias("_n"))
-    return held.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    """docs, whatever its columns, with each row as many times as the mix takes it. Rows are told apart by a number written beside them."""
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("doc")
+    held = docs.select(whole, F.monotonically_increasing_id().alias("row"), F.size(words_column("text")).cast("long").alias("size"))
+    held = written(held, "to-mix")
+    sized = held.select("doc.doc_id", "doc.source", "size", "row")
+    times = _mixed(sized, seed, ("row",)).where("n_copies > 0").select("row", F.col("n_copies").cast("int").alias("n"))
+    return held.join(times, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
