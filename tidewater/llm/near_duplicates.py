@@ -11,7 +11,8 @@ in each node
 2. small nodes are compared exhaustively, but for pairs already in one component;
 3. so are larger ones with at most OUTSIDE sets outside the node's largest component: these against all;
 4. other nodes branch on, two positions each, and start again one level deeper. What still isn't done
-   after MAX_DEPTH levels is compared as in 3, so that no node is given up.
+   after MAX_DEPTH levels is dealt to blocks, each two of which are compared as one small node, so that no
+   node is given up and none becomes one task.
 
 Steps 1 and 3 are linear in a node's sets and step 2 has small nodes only: a large group of near copies
 is joined by its star and done. A pair passes first by its sketches (so loosely that a true link fails
@@ -20,10 +21,14 @@ for most documents are all, and then by its full sets. So what tasks emit is lin
 to the threshold, also where thousands of sets are almost similar enough. A tree keeps a pair of similarity 0.75 together for
 four levels with probability 0.53; TREES independent trees all part it with probability below 1e-6.
 
+A set that thousands of pairs name, as a star's lead, is joined in shares: pairs are dealt to its shares by their
+other set, and it is sent once for each share.
+
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows are copies; rows that
-share an id count as one document; a row without an id is linked with nothing, has no component and
-isn't kept.
+share an id are one document, which is linked by what any of its texts is linked by; a row without an id is linked
+with nothing, has no component and isn't kept. representatives() looks at texts, not at ids: of rows that
+share an id, each text that has no near-copy stays.
 """
 
 from __future__ import annotations
@@ -32,12 +37,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import ASCII_LOWER, WordHashes, dropped, mixed, table, window_hashes, written
+from .shared import ASCII_LOWER, WordHashes, arrow_mapped, dropped, mixed, table, turned, window_hashes, written
 from .subset import measured_of
 
 WIDTH = 5
@@ -51,7 +57,9 @@ MAX_DEPTH = 24
 OUTSIDE = 16
 SMALL = 2048
 #: Rows of small nodes that one task compares.
-BATCH_ROWS = 50_000
+BATCH_ROWS = 20_000
+#: Pairs that one share of a set is joined with, and the most sets in shares: a broadcast of 16 MB.
+HOT, MAX_HOT = 4096, 1 << 20
 #: Of 128 tokens that agree with probability 0.75 each, fewer agree with probability below 1e-6.
 AGREE = 71
 #: The smallest elements of a set that small nodes compare: sets of no more elements are compared whole.
@@ -80,25 +88,28 @@ def sketch(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
+def set_key(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the set; null if empty), sketch (the tokens to branch by) and code (a byte of each token)."""
+    """doc_id, hash (of the text), n_shingles, set_key (128 bits of the set; null if empty), sketch (the tokens to branch by) and code (a byte of each token)."""
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         known, factors = WordHashes(), _multipliers(TOKENS)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch["text"].to_pylist():
                 found = shingles(text, width, known)
                 if not len(found):
                     rows.append((0, None, None, None))
                     continue
                 drawn = sketch(found, factors)
-                rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), drawn[:POSITIONS].tobytes(), drawn.astype("u1").tobytes()))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "sketch", "code"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+                rows.append((len(found), set_key(found), drawn[:POSITIONS].tobytes(), drawn.astype("u1").tobytes()))
+            yield [batch["doc_id"], batch["hash"], *turned(rows, 4)]
 
-    return docs.select("doc_id", "text").mapInPandas(measure, "doc_id long, n_shingles long, set_key binary, sketch binary, code binary")
+    schema = "doc_id long, hash long, n_shingles long, set_key binary, sketch binary, code binary"
+    return arrow_mapped(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), measure, schema)
 
 
 def _children(keys: np.ndarray, tokens: np.ndarray, rows: np.ndarray, sparse: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +159,26 @@ def _branched(nodes: DataFrame) -> DataFrame:
     return nodes.select("key", "rep", "sketch").mapInPandas(grow, "key long, rep long")
 
 
-def _near(pairs: DataFrame, reps: DataFrame, agree: int) -> DataFrame:
+def _hot(counts: DataFrame) -> DataFrame | None:
+    """counts: id, n. The ids named by over HOT pairs, with the shares that each is joined in; None if there are none, or so many that they
+    spread by themselves."""
+    hot = written(counts.where(F.col("n") > HOT).select("id", F.ceil(F.col("n") / HOT).cast("int").alias("shares")), "hot")
+    return hot if 0 < hot.count() <= MAX_HOT else None
+
+
+def _joined(pairs: DataFrame, values: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """pairs: a, b; values: id and one column. Adds that of a as x and that of b as y. Only a may be hot."""
+    pairs = pairs.join(values.toDF("b", "y"), "b")
+    if hot is None:
+        return pairs.join(values.toDF("a", "x"), "a")
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = pairs.join(F.broadcast(hot.toDF("a", "shares")), "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), shares).cast("int")).drop("shares")
+    copies = values.join(F.broadcast(hot), "id", "left")
+    copies = copies.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
+    return dealt.join(copies.toDF("a", "x", "share"), ["a", "share"])
+
+
+def _near(pairs: DataFrame, hot: DataFrame | None, reps: DataFrame, agree: int) -> DataFrame:
     """The pairs (a, b) whose sketches agree in enough positions."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,8 +187,7 @@ def _near(pairs: DataFrame, reps: DataFrame, agree: int) -> DataFrame:
                 same = (_bytes(batch["x"], "u1") == _bytes(batch["y"], "u1")).sum(axis=1)
                 yield batch.loc[same >= agree, ["a", "b"]]
 
-    codes = reps.select("rep", "code")
-    both = pairs.join(codes.toDF("a", "x"), "a").join(codes.toDF("b", "y"), "b")
+    both = _joined(pairs, reps.select(F.col("rep").alias("id"), "code"), hot)
     return both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
 
@@ -208,45 +237,53 @@ def _near_in_nodes(nodes: DataFrame, tasks: int, agree: int, percent: int) -> Da
     return nodes.select(part, "key", "rep", "label", "n_shingles", "code", "lowest").groupBy("part").applyInPandas(compare, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    def measure(batch: pd.DataFrame) -> pd.DataFrame:
-        known = WordHashes()
-        return pd.DataFrame({"id": batch["doc_id"], "items": [shingles(t, width, known).astype(np.int64) for t in batch["text"]]})
-
-    return measured_of(docs, ids, measure, "id long, items array<long>")
+def _of_sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, width: int, value, schema: str) -> DataFrame:
+    """id and value(the set) of the representatives in ids, measured on a document that has the set."""
+    wanted = written(reps.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").select("rep", "set_key", F.col("doc").alias("id")), "wanted")
 
+    def measure(batch: pd.DataFrame) -> pd.DataFrame:
+        known, rows = WordHashes(), {}
+        for text in batch["text"]:
+            found = shingles(text, width, known)
+            if len(found) and (key := set_key(found)) not in rows:
+                rows[key] = value(found)
+        return pd.DataFrame({"set_key": list(rows), "value": list(rows.values())})
 
-def _lowest(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """The size of a document's set and the upper halves of its smallest elements."""
+    found = measured_of(docs, wanted, measure, f"set_key binary, value {schema}").groupBy("set_key").agg(F.first("value").alias("value"))
+    return found.join(wanted, "set_key").select(F.col("rep").alias("id"), "value")
 
-    def measure(batch: pd.DataFrame) -> pd.DataFrame:
-        known = WordHashes()
-        found = [shingles(t, width, known) for t in batch["text"]]
-        lowest = [(x[:LOWEST] >> np.uint64(32)).astype("<u4").tobytes() for x in found]
-        return pd.DataFrame({"rep": batch["doc_id"], "n_shingles": [len(x) for x in found], "lowest": lowest})
 
-    drawn = measured_of(docs, ids, measure, "rep long, n_shingles long, lowest binary").where("n_shingles > 0")
-    return drawn.groupBy("rep").agg(F.max(F.struct("n_shingles", "lowest")).alias("x")).select("rep", "x.n_shingles", "x.lowest")
+def _lowest(found: np.ndarray) -> bytes:
+    """The upper halves of a set's smallest elements."""
+    return (found[:LOWEST] >> np.uint64(32)).astype("<u4").tobytes()
 
 
-def confirm(near: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(near: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """near: pairs (a, b), a written table. Those whose full sets are similar enough."""
-    ids = written(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), "ids")
-    full = written(_sets(docs, ids, width), "sets")
-    both = near.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
+    ends = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
+    counts = written(ends.groupBy("id").agg(F.count("*").alias("n")), "ids")
+    full = written(_of_sets(docs, reps, counts.select("id"), width, lambda x: x.astype(np.int64), "array<long>"), "sets")
+    hot = _hot(counts)
+    if hot is not None:  # of two hot sets, the one of more pairs is joined in shares
+        of = lambda c: near_hot.withColumnRenamed("id", c).withColumnRenamed("shares", f"_{c}")
+        near_hot = F.broadcast(hot)
+        sided = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        swap = F.coalesce("_b", F.lit(0)) > F.coalesce("_a", F.lit(0))
+        near = sided.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
     shared = F.size(F.array_intersect("x", "y"))
-    links = both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
-    out = written(links, "confirmed")
-    dropped(ids, full)
+    both = _joined(near, full, hot).where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
+    out = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "confirmed")
+    dropped(counts, full)
     return out
 
 
 class _Links:
     """Tested pairs, confirmed links and the components they make, so far."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.docs, self.width, self.percent = docs, width, percent
-        self.tested = self.found = None
+    def __init__(self, docs: DataFrame, reps: DataFrame, width: int, percent: int):
+        self.docs, self.reps, self.width, self.percent = docs, reps, width, percent
+        self.tested = None
+        self.found = docs.sparkSession.createDataFrame([], "a long, b long")
         self.labels = docs.sparkSession.createDataFrame([], "id long, component long")
 
     def add(self, near: DataFrame) -> None:
@@ -257,9 +294,9 @@ class _Links:
         if near.isEmpty():
             return
         self.tested = near if self.tested is None else self.tested.unionByName(near)
-        new = confirm(near, self.docs, self.width, self.percent)
+        new = confirm(near, self.docs, self.reps, self.width, self.percent)
         if not new.isEmpty():
-            self.found = new if self.found is None else self.found.unionByName(new)
+            self.found = self.found.unionByName(new)
             self.labels = written(components(self.found), "labels")
 
 
@@ -269,18 +306,27 @@ def _across(nodes: DataFrame) -> DataFrame:
     return others.join(nodes.select("key", F.col("rep").alias("b"), "label"), "key").where("x <> label").select("a", "b").distinct()
 
 
-def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, trees: int, start: int = START, agree: int = AGREE) -> DataFrame:
-    """id and component of every representative that has a link."""
-    links = _Links(docs, width, percent)
+def _in_blocks(nodes: DataFrame) -> DataFrame:
+    """Large nodes as small ones: each set is in the blocks that pair its own with every other of its node."""
+    n = F.ceil(F.col("all") / SMALL).cast("int")
+    own = nodes.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+    each = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    key = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return each.withColumn("key", key).select(nodes.columns)
+
+
+def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, trees: int, start: int = START, agree: int = AGREE) -> _Links:
+    """The links of representatives (reps: rep, doc, set_key, n_shingles, sketch, code) and their components."""
+    links = _Links(docs, reps, width, percent)
     rows = written(_planted(reps, trees, start), "nodes")
     for depth in range(start, MAX_DEPTH + 1):
         # the lead, whose id differs least from the key, is another set in other nodes
         least = F.min(F.col("rep").bitwiseXOR(F.col("key"))).bitwiseXOR(F.col("key"))
-        shared = rows.groupBy("key").agg(F.count("*").alias("n"), least.alias("lead")).where("n > 1").select("key", "lead")
-        nodes = written(rows.join(shared, "key").select("key", "rep", "lead"), "shared-nodes")
+        shared = written(rows.groupBy("key").agg(F.count("*").alias("n"), least.alias("lead")).where("n > 1"), "leads")
+        nodes = written(rows.join(shared.select("key", "lead"), "key").select("key", "rep", "lead"), "shared-nodes")
         dropped(rows)
-        star = nodes.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        links.add(_near(star, reps, agree))
+        star = nodes.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        links.add(_near(star, _hot(shared.groupBy(F.col("lead").alias("id")).agg(F.sum("n").alias("n"))), reps, agree))
         named = nodes.join(links.labels.withColumnRenamed("id", "rep"), "rep", "left").select(
             "key", "rep", F.coalesce("component", "rep").alias("label")
         )
@@ -289,53 +335,73 @@ def linked(docs: DataFrame, reps: DataFrame, width: int, percent: int, trees: in
             "key", "all", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("out")
         ).where("out > 0")
         undone = written(named.join(several, "key"), "undone-nodes")
-        small = undone.where(F.col("all") <= SMALL)
+        small, large = undone.where(F.col("all") <= SMALL), undone.where(F.col("all") > SMALL)
+        few, many = large.where(F.col("out") <= OUTSIDE), large.where(F.col("out") > OUTSIDE)
+        if depth == MAX_DEPTH:
+            small = small.unionByName(_in_blocks(many))
         if n := small.count():
             ids = written(small.select(F.col("rep").alias("id")).distinct(), "ids")
-            lowest = written(_lowest(docs, ids, width), "lowest")
-            described = small.join(reps.select("rep", "code"), "rep").join(lowest, "rep")
+            lowest = written(_of_sets(docs, reps, ids, width, _lowest, "binary").toDF("rep", "lowest"), "lowest")
+            described = small.join(reps.select("rep", "n_shingles", "code"), "rep").join(lowest, "rep")
             links.add(_near_in_nodes(described, -(-n // BATCH_ROWS) + 11, agree, percent))
             dropped(ids, lowest)
-        large = undone.where(F.col("all") > SMALL)
-        few = large if depth == MAX_DEPTH else large.where(F.col("out") <= OUTSIDE)
         if not few.isEmpty():
-            links.add(_near(_across(few), reps, agree))
-        many = large.where(F.col("out") > OUTSIDE)
+            outside = few.where("label <> main").groupBy(F.col("rep").alias("id")).agg(F.sum("all").alias("n"))
+            links.add(_near(_across(few), _hot(outside), reps, agree))
         done = depth == MAX_DEPTH or many.isEmpty()
         if not done:
             rows = written(_branched(many.select("key", "rep").join(reps.select("rep", "sketch"), "rep")), "nodes")
-        dropped(nodes, undone)
+        dropped(nodes, shared, undone)
         if done:
             break
-    return links.labels
+    return links
+
+
+def _drawn(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows; one representative, numbered, of each set; the ids of several rows with their number, least and greatest set."""
+    drawn = written(sketches(docs, width), "sketches")
+    named = drawn.where("doc_id is not null")
+    first = named.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "code")))
+    reps = written(first.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    several = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("n > 1")
+    return drawn, reps, written(several, "several")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    drawn = written(sketches(docs, width), "sketches")
-    reps = written(
-        drawn.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("sketch", "code"))),
-        "representatives",
-    )
-    labels = linked(docs, reps, width, percent, trees)
-    named = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("found")
-    )
-    out = drawn.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    drawn, reps, several = _drawn(docs, width)
+    links = linked(docs, reps, width, percent, trees)
+    labels, keyed = links.labels, drawn.select("doc_id", "n_shingles", "set_key")
+    if not several.isEmpty():  # the sets of one id are linked, and its empty texts go where its others are
+        number = reps.select("set_key", "rep")
+        both = drawn.join(several.where("low <> high"), "doc_id").where("set_key <> low").select("low", "set_key").distinct()
+        own = both.join(number.toDF("low", "a"), "low").join(number.toDF("set_key", "b"), "set_key").select("a", "b")
+        labels = written(components(links.found.unionByName(own)), "labels")
+        keyed = keyed.join(several.select("doc_id", "low"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("set_key", "low").alias("set_key"))
+    members = reps.select("set_key", "rep", "doc").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    smallest = members.where("component is not null").groupBy("component").agg(F.min("doc").alias("smallest"))
+    found = members.join(smallest, "component", "left").select("set_key", F.coalesce("smallest", "doc").alias("found"))
+    out = keyed.join(found, "set_key", "left")
     return out.select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def representatives(docs: DataFrame, **how) -> DataFrame:
-    """One row of docs for each group of near-duplicates; of rows that share an id, one; rows without an id stay."""
-    kept = near_duplicates(docs, **how).where("kept").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return chosen.unionByName(docs.where("doc_id is null"))
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
+    """One row of docs for each group of near-copies among its texts; rows without an id stay."""
+    drawn, reps, several = _drawn(docs.select("doc_id", "text"), width)
+    labels = linked(docs.select("doc_id", "text"), reps, width, percent, trees).labels.withColumnRenamed("id", "rep")
+    group = reps.join(labels, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("group"))
+    named = drawn.where("doc_id is not null").select(F.col("doc_id").alias("id"), "hash", "set_key")
+    first = named.join(group, "set_key").groupBy("group").agg(F.min(F.struct("id", "hash")).alias("first")).select("first.id", "first.hash")
+    kept = first.unionByName(named.where("set_key is null").select("id", "hash").distinct())
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("doc")
+    chosen = docs.select(whole, F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).join(kept, ["id", "hash"], "left_semi")
+    if not several.isEmpty():
+        chosen = chosen.dropDuplicates(["id", "hash"])
+    return chosen.select("doc.*").unionByName(docs.where("doc_id is null"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
