@@ -112,7 +112,10 @@ def test_token_histogram(docs, empty):
         n = r.context_limit
         assert r.n_docs == lengths.count(n) and r.truncated_total == sum(min(x, n) for x in lengths) and r.total_tokens == sum(lengths)
         assert r.docs_above == sum(x > n for x in lengths) and r.share_up_to == pytest.approx(sum(x <= n for x in lengths) / len(lengths))
-    assert token_counts.truncated_total(bars, 33) == sum(min(x, 33) for x in lengths)
+    for limit in (0, 1, 33, 500, 10**6):
+        assert token_counts.truncated_total(bars, limit) == sum(min(x, limit) for x in lengths)
+    long = docs.where("length(text) > 200")  # no length is as short as the limit
+    assert token_counts.truncated_total(token_counts.histogram(token_counts.lengths(long)), 2) == 2 * long.count()
     assert token_counts.quantile(bars, 0.5) == lengths[(len(lengths) + 1) // 2 - 1]
     nothing = token_counts.histogram(token_counts.lengths(empty))
     assert nothing.count() == 0 and token_counts.truncated_total(nothing, 5) == 0 and token_counts.quantile(nothing, 0.5) is None
@@ -125,33 +128,37 @@ def test_fast_ids_are_those_of_the_vocabulary():
     assert enc.ids(None).tolist() == []
 
 
-def brute_components(rows, width=5, percent=75):
-    sets = defaultdict(set)
-    for i, t, *_ in rows:
-        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
-        sets[i] |= {tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))} if w else set()
-    parent = {i: i for i in sets}
+def shingle_set(t, width=5):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    return {tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def brute_components(rows, percent=75):
+    """The smallest id that each id reaches, over links of any of their texts."""
+    sets = [(i, shingle_set(t)) for i, t, *_ in rows]
+    parent = {i: i for i, _ in sets}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+    for i, x in sets:
+        for j, y in sets:
+            if i < j and x and y and 100 * len(x & y) >= percent * len(x | y):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-    return {i: (len(sets[i]), root(i)) for i in sets}
+    return {i: root(i) for i in parent}
 
 
 def test_near_duplicates(docs, empty, spark):
     found = near_duplicates.near_duplicates(docs).collect()
     expected = brute_components(corpus())
-    assert len(found) == len(corpus()) and all((r.n_shingles, r.component_id) == expected[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in found)
+    assert Counter((r.doc_id, r.n_shingles) for r in found) == Counter((i, len(shingle_set(t))) for i, t, *_ in corpus())
+    assert all(r.component_id == expected[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in found)
     assert near_duplicates.near_duplicates(empty).count() == 0
     stay = near_duplicates.representatives(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    assert sorted(r.doc_id for r in stay.collect()) == sorted({i for i, (_, c) in expected.items() if i == c})
+    assert sorted(r.doc_id for r in stay.collect()) == sorted({i for i, c in expected.items() if i == c})
     alone = near_duplicates.near_duplicates(spark.createDataFrame([(None, prose(1, 30))] * 2, "doc_id long, text string")).collect()
     assert all(r.component_id is None and not r.kept for r in alone)
 
@@ -166,13 +173,62 @@ def test_large_groups_of_near_copies(spark):
         rows.append((i, " ".join(words)))
     rows += [(1000 + i, " ".join(base[:40]) + " " + prose(i, 90)) for i in range(60)]
     expected = brute_components(rows)
-    small = near_duplicates.SMALL
+    now = near_duplicates.SMALL, near_duplicates.MAX_DEPTH, near_duplicates.HOT
     try:
-        for near_duplicates.SMALL in (small, 20):  # the second makes nodes branch on
+        # the second makes nodes branch on, the third deals them to blocks at once, the last two join sets in shares
+        for near_duplicates.SMALL, near_duplicates.MAX_DEPTH, near_duplicates.HOT in (now, (20, now[1], 5), (20, near_duplicates.START, 5)):
             found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-            assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+            assert {r.doc_id: r.component_id for r in found} == expected
     finally:
-        near_duplicates.SMALL = small
+        near_duplicates.SMALL, near_duplicates.MAX_DEPTH, near_duplicates.HOT = now
+
+
+def test_texts_that_share_an_id(spark):
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, ""), (12, c), (12, c), (None, a)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter([(1, 1), (5, 1), (5, 1), (9, 1), (9, 1), (12, 12), (12, 12), (None, None)])
+    stay = near_duplicates.representatives(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, hash int")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in stay) == sorted([(1, a), (5, b), (9, ""), (12, c), (0, a)])
+
+
+BIG = 2**53 + 1
+
+
+def test_ids_beside_nulls_keep_their_bits(spark, labels, tmp_path):
+    rows = [(BIG, prose(41, 40), BIG + 2, None), (None, prose(42, 40), None, 3), (BIG + 4, None, None, BIG), (BIG + 6, "a token=abcdefghijkl1 b", 7, None)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, other long, n_chars long").coalesce(1)
+    ids = {BIG, None, BIG + 4, BIG + 6}
+    of = lambda df: {r.doc_id for r in df.collect()}
+    assert of(near_duplicates.near_duplicates(both)) == ids and of(secrets.scan(both)) == ids and of(packing.packed(both)) == ids
+    assert of(quality_classifier.classify(both, labels.withColumnRenamed("quality", "label"))) == ids
+    assert of(training_order.training_order(both, f"file://{tmp_path}/ids", context=16, shard_rows=4)) == ids
+    clean = {r.doc_id: r for r in secrets.redact(both).collect()}
+    assert clean.keys() == ids and clean[BIG].other == BIG + 2 and clean[BIG + 4].n_chars == BIG and clean[BIG + 6].n_chars == len("a [REDACTED] b")
+
+
+def test_shards_of_other_documents_are_refused(spark, tmp_path):
+    one, other = (spark.createDataFrame([(i, prose(50 + i + n, 40)) for i in range(20)], "doc_id long, text string") for n in (0, 100))
+    folder, how = f"file://{tmp_path}/shards", {"context": 16, "shard_rows": 4}
+    first = training_order.training_order(one, folder, **how).collect()
+    assert sorted(first) == sorted(training_order.training_order(one, folder, **how).collect())
+    for docs, key in ((other, training_order.KEY), (one, 5)):
+        with pytest.raises(FileExistsError):
+            training_order.training_order(docs, folder, key=key, **how)
+    again = training_order.training_order(other, folder, replace=True, **how).collect()
+    stored = list(training_order.read(folder, 0, 10**6, 16, 4))
+    assert len(stored) == len(again) and all(zlib.crc32(stored[r.slot][: r.length].astype("<u4").tobytes()) == r.ids_crc32 for r in again)
+
+
+def test_several_shards_a_task(spark, tmp_path):
+    docs = spark.createDataFrame([(i, prose(70 + i, 60)) for i in range(30)], "doc_id long, text string")
+    items = training_order.written(training_order.sequences(docs, context=16), "sequences")
+    ordered, n = training_order.numbered(items)
+    folder = f"file://{tmp_path}/several"
+    out = training_order._shards(ordered, 0, -(-n // 4), folder, 16, 4, max_tasks=3).collect()
+    stored = list(training_order.read(folder, 0, 10**6, 16, 4))
+    assert sorted(r.slot for r in out) == list(range(n)) and len(stored) == n
+    assert all(zlib.crc32(stored[r.slot][: r.length].astype("<u4").tobytes()) == r.ids_crc32 for r in out)
 
 
 def test_components(spark):
@@ -361,6 +417,68 @@ def test_packing(docs, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_packing_needs_few_sequences(spark):
+    r = random.Random(6)
+    for longest in (100, 700, 2047):
+        lengths = [r.randint(1, longest) for _ in range(3000)]
+        items = packing.written(spark.createDataFrame(list(enumerate(lengths)), "item long, length long"), "items")
+        at_once = len(packing.best_fit(sorted(lengths, reverse=True), 2048)[2])
+        for group in (3000, 200):
+            n = packing.pack(items, group=group).select("sequence_id").distinct().count()
+            assert n >= -(-sum(lengths) // 2048) and n <= 1.03 * at_once + 1, (longest, group)
+
+
+def test_very_long_texts(spark, labels):
+    text = prose(90, 30_000) + " token: zQ8x1LmV9pRt4KcW8nBd1 " + prose(91, 100)
+    rows = [(1, text, "en", "s", len(text)), (2, text + " more", "en", "s", len(text) + 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert [r.component_id for r in near_duplicates.near_duplicates(docs).collect()] == [1, 1]
+    assert sum(r.size for r in source_mix.source_mix(docs).collect()) == sum(len(WORD.findall(t)) for _, t, *_ in rows)
+    assert all(r.n_assign == 1 for r in secrets.scan(docs).collect())
+    assert {r.n_words for r in quality_rules.quality_rules(docs, labels)[0].collect()} == {len(WORD.findall(t)) for _, t, *_ in rows}
+    found = passages.passages(docs).collect()
+    assert [(r.doc_id, r.other_id) for r in found] == [(2, 1)] and found[0].n_equal >= 30_000
+    assert packing.packed(docs).count() > 50 and len(quality_classifier.classify(docs, labels.withColumnRenamed("quality", "label")).collect()) == 2
+
+
+def test_clashing_columns_stay(spark, labels):
+    names = {"_row": 9, "row": 8, "_size": 7, "size": 6, "n": 5, "_n": 4, "_copy": 3, "_doc": 2, "_text": 1, "doc": 0, "hash": 11, "id": 12, "rep": 13, "u": 14}
+    docs = spark.createDataFrame([(i, prose(i, 50), "en", "s", 1) for i in range(12)], SCHEMA).withColumns({k: F.lit(v) for k, v in names.items()})
+    for out in (source_mix.mixture(docs), quality_rules.accepted(docs, labels), near_duplicates.representatives(docs), secrets.redact(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(r[k] == v for r in rows for k, v in names.items())
+
+
+def test_trees_are_walked_as_they_are_written():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 4))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 > 0.3).astype(float)
+    forest = boosting.fit(x, y, trees=5, depth=3)
+
+    def walked(row):
+        total = forest.start
+        for at in forest.roots:
+            while forest.left[at] != at:
+                at = forest.left[at] if row[forest.feature[at]] <= forest.cut[at] else forest.right[at]
+            total += forest.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.score(x), [walked(row) for row in x])
+    stump = boosting.fit(x, y, trees=1, depth=1, bins=400, rate=1.0)
+    share = (y.sum() + 1) / (len(y) + 2)
+    p, best = share, (-1.0, None)
+    grad, hess = y - p, p * (1 - p)
+    for j in range(4):
+        for cut in np.unique(x[:, j]):
+            low = x[:, j] <= cut
+            if 10 <= low.sum() <= len(y) - 10:
+                gain = sum(grad[s].sum() ** 2 / (hess * s.sum() + 1) for s in (low, ~low))
+                best = max(best, (gain, (j, cut)))
+    root = stump.roots[0]
+    low = x[:, stump.feature[root]] <= stump.cut[root]
+    assert sum(grad[s].sum() ** 2 / (hess * s.sum() + 1) for s in (low, ~low)) >= 0.999 * best[0]
+
+
 def test_word_hashes_forget_when_full():
     known = WordHashes()
     known.LIMIT = 2
