@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.near_duplicates import representatives
@@ -15,24 +12,6 @@ from tidewater.llm.shared import made_tables, removed, table, written
 from tidewater.llm.source_mix import mixture
 
 
-_MADE: list[str] = []
-
-
-def stage(function: Callable) -> Callable:
-    """A stage deletes what the stage before wrote for itself: its result has been written by then. The first deletes nothing."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if function is not FIRST:
-            removed(spark, _MADE)
-        with made_tables() as made:
-            out = function(spark, docs, sf_dir)
-        _MADE[:] = made
-        return out
-
-    return run_stage
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned decision list accepts."""
     return accepted(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -58,13 +37,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs)
 
 
-FIRST = quality
 STAGES = [
-    ("quality rules", stage(quality)),
-    ("near-duplicates", stage(near_dedup)),
-    ("secret scan", stage(secret_scan)),
-    ("source mix", stage(mix)),
-    ("best-fit packing", stage(pack)),
+    ("quality rules", quality),
+    ("near-duplicates", near_dedup),
+    ("secret scan", secret_scan),
+    ("source mix", mix),
+    ("best-fit packing", pack),
 ]
 
 #: The learned rules, the similarity join and the tokenizer have no SQL; tests hold run() against brute force.
@@ -72,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed sequences. What a stage wrote for itself, and its predecessor's result, go when its own result is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, function in STAGES[:-1]:
-        docs = written(function(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with made_tables() as made:
+            done = function(spark, docs, sf_dir)
+        docs = written(done, f"stage-{name.replace(' ', '-')}")
+        removed(spark, [*made, *before])
+        before = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
     return STAGES[-1][1](spark, docs, sf_dir)
