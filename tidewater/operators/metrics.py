@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import valid_groups
+from .relational import cumulated, valid_groups
 
 
 def _placed(rows: DataFrame, group: str, score: str) -> DataFrame:
@@ -24,12 +24,10 @@ def ndcg(rows: DataFrame, group: str, score: str, label: str, k: int) -> DataFra
 
 
 def auc(rows: DataFrame, score: str, label: str, group: str | None = None) -> DataFrame:
-    """Rank-sum AUC with mid-ranks for ties; 0.5 where one class is missing. For a group each, or for all rows:
-    then scores are counted first, so that what passes through one task is one row for each distinct score."""
+    """Rank-sum AUC with mid-ranks for ties; 0.5 where one class is missing. For a group each, or for all rows; scores are counted first."""
     keys = [group] if group else []
     counts = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wins = counts.withColumn("w", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2))
+    wins = cumulated(counts, score, ["n"], keys).withColumn("w", F.col("p") * (F.col("n_before") + F.col("n") / 2))
     out = wins.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("w").alias("w"))
     return out.select(*keys, (F.col("p") + F.col("n")).alias("n_rows"), F.col("p").alias("n_positive"), F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).otherwise(0.5).alias("auc"))
 

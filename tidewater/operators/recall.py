@@ -8,34 +8,52 @@ from pyspark.sql import functions as F
 from .relational import min_max, top_k
 
 
-def edges(rows: DataFrame, least: float = 0.0) -> DataFrame:
-    """user, item, label -> the largest positive score of each pair."""
-    return rows.groupBy("user", "item").agg(F.max(F.greatest("label", F.lit(0.0))).alias("score")).where(F.col("score") > least)
+def edges(rows: DataFrame, least: float = 0.0, click: str | None = None) -> DataFrame:
+    """user, item, label -> the largest positive score of each pair. Where no pair has one and click is named, clicked pairs score 1 instead."""
+    scored = rows.groupBy("user", "item").agg(F.max(F.greatest(F.coalesce("label", F.lit(0.0)), F.lit(0.0))).alias("score")).where(F.col("score") > least)
+    if click and scored.isEmpty():
+        return rows.where(F.col(click) > 0).groupBy("user", "item").agg(F.lit(1.0).alias("score"))
+    return scored
+
+
+def user_trimmed(graph: DataFrame, items_a_user: int) -> DataFrame:
+    """The best items of each user."""
+    return top_k(graph, "user", [F.desc("score"), F.col("item")], items_a_user, "_r").drop("_r")
 
 
 def trimmed(graph: DataFrame, items_a_user: int, users_an_item: int) -> DataFrame:
     """The best items of each user, then of these the best users of each item: what bounds the pairs below."""
-    kept = top_k(graph, "user", [F.desc("score"), F.col("item")], items_a_user, "_r").drop("_r")
-    return top_k(kept, "item", [F.desc("score"), F.col("user")], users_an_item, "_r").drop("_r")
+    return top_k(user_trimmed(graph, items_a_user), "item", [F.desc("score"), F.col("user")], users_an_item, "_r").drop("_r")
 
 
-def swing(graph: DataFrame, alpha: float = 0.5, least_common: int = 2, k: int = 200) -> DataFrame:
-    """Item pairs by the users they share, less for pairs of users who share much.
+def swing(graph: DataFrame, items_a_user: int = 300, users_an_item: int = 300, alpha: float = 1.0, least_common: int = 2, candidates: int = 600, k: int = 120) -> DataFrame:
+    """Item pairs by the users they share: each pair of these adds the product of their weights over alpha and the number of items that both have.
 
-    graph must be trimmed: a user's items and an item's users are bounded, so are the pairs made of them.
+    A user's weight and items come from the graph trimmed by user, the users that two items share from the one trimmed by item as well, so the pairs of users are bounded
+    for each item. Of an item's candidates, which are the other items of its users, those stay that most of its users have.
     """
-    weight = graph.groupBy("user").agg((1 / F.sqrt(F.count("*"))).alias("w"))
-    rows = graph.select("user", "item").join(weight, "user")
-    pairs = rows.alias("a").join(rows.alias("b"), F.expr("a.item = b.item and a.user < b.user")).select(
-        F.col("a.user").alias("u"), F.col("b.user").alias("v"), F.col("a.item").alias("item"), (F.col("a.w") * F.col("b.w")).alias("w")
-    )
-    shared = pairs.groupBy("u", "v").agg(F.count("*").alias("n"), F.first("w").alias("w"), F.sort_array(F.collect_list("item")).alias("items")).where("n > 1")
-    both = shared.select((F.col("w") / (alpha + F.col("n"))).alias("s"), "items", F.explode("items").alias("src"))
-    scored = (
-        both.select("s", "src", F.explode("items").alias("dst")).where("src <> dst")
-        .groupBy("src", "dst").agg(F.sum("s").alias("score"), F.count("*").alias("n_pairs"))
-    )
-    return top_k(scored.where(F.col("n_pairs") >= least_common - 1), "src", [F.desc(F.round("score", 9)), F.col("dst")], k)
+    by_user = user_trimmed(graph, items_a_user).select("user", "item", "score")
+    by_item = trimmed(graph, items_a_user, users_an_item).select("user", "item")
+    owned = by_user.groupBy("user").agg(F.collect_list("item").alias("items"))
+    pairs = by_item.alias("a").join(by_item.alias("b"), F.expr("a.item = b.item and a.user < b.user")).select(F.col("a.user").alias("u"), F.col("b.user").alias("v"), F.col("a.item").alias("item"))
+    shared = pairs.groupBy("u", "v").agg(F.collect_list("item").alias("shared")).where(F.size("shared") > 1)
+    both = shared.join(owned.toDF("u", "_a"), "u").join(owned.toDF("v", "_b"), "v")
+    weight = 1 / F.sqrt(F.size("_a").cast("double")) / F.sqrt(F.size("_b").cast("double")) / (alpha + F.size(F.array_intersect("_a", "_b")))
+    spread = both.select(weight.alias("s"), "shared", F.explode("shared").alias("src")).select("s", "src", F.explode("shared").alias("dst")).where("src <> dst")
+    scored = spread.groupBy("src", "dst").agg(F.sum("s").alias("score"), F.count("*").alias("_pairs")).where(F.col("_pairs") >= least_common * (least_common - 1) // 2)
+    met = by_item.select(F.col("item").alias("src"), "user").join(by_user.select("user", F.col("item").alias("dst")), "user").where("src <> dst")
+    counts = met.groupBy("src", "dst").agg(F.count("*").alias("_c")).where(F.col("_c") >= least_common)
+    most = top_k(counts, "src", [F.desc("_c"), F.col("dst")], candidates, "_r").select("src", "dst")
+    return top_k(scored.join(most, ["src", "dst"], "left_semi").drop("_pairs"), "src", [F.desc(F.round("score", 9)), F.col("dst")], k)
+
+
+def sequence_transitions(steps: DataFrame, k: int = 200) -> DataFrame:
+    """steps: src, recency (0 is the newest of a request's history), dst (an item of the request) and y, its label. Positive items alone count; each adds
+    to every item of the history before it, more for higher labels and for newer items."""
+    rows = steps.where("y > 0 and src >= 0 and dst >= 0 and src <> dst")
+    gain = 1 + F.least(F.lit(2.5), 0.22 * F.col("y"))
+    recent = F.when(F.col("recency") < 3, 1.18).otherwise(1.0) / (1 + 0.32 * F.col("recency"))
+    return top_k(rows.groupBy("src", "dst").agg(F.sum(gain * recent).alias("score")), "src", [F.desc(F.round("score", 9)), F.col("dst")], k)
 
 
 def usercf(graph: DataFrame, k: int = 50) -> DataFrame:
@@ -44,16 +62,24 @@ def usercf(graph: DataFrame, k: int = 50) -> DataFrame:
     rows = graph.join(degree, "item")
     norm = rows.groupBy("user").agg(F.sqrt(F.sum(F.col("score") * F.col("score") * F.col("idf"))).alias("norm"))
     dots = (
-        rows.alias("a").join(rows.alias("b"), F.expr("a.item = b.item and a.user <> b.user"))
-        .groupBy(F.col("a.user").alias("user"), F.col("b.user").alias("other"))
+        rows.alias("a").join(rows.alias("b"), F.expr("a.item = b.item and a.user < b.user"))
+        .groupBy(F.col("a.user").alias("u"), F.col("b.user").alias("v"))
         .agg(F.sum(F.expr("a.score * b.score * a.idf")).alias("dot"))
     )
-    scored = dots.join(norm, "user").join(norm.toDF("other", "other_norm"), "other").select(
+    ways = F.explode(F.array(F.struct(F.col("u").alias("user"), F.col("v").alias("other")), F.struct(F.col("v").alias("user"), F.col("u").alias("other")))).alias("w")
+    scored = dots.select(ways, "dot").select("w.*", "dot").join(norm, "user").join(norm.toDF("other", "other_norm"), "other").select(
         "user", "other", (F.col("dot") / (F.col("norm") * F.col("other_norm"))).alias("score")
     )
     return top_k(scored, "user", [F.desc(F.round("score", 9)), F.col("other")], k)
 
 
+def usercf_recall(near: DataFrame, graph: DataFrame, k: int) -> DataFrame:
+    """near: user, other, score. graph: user, item, score. The items of similar users, by the sums of similarity times score."""
+    theirs = graph.select(F.col("user").alias("other"), "item", F.col("score").alias("_s"))
+    found = near.join(theirs, "other").groupBy("user", "item").agg(F.sum(F.col("score") * F.col("_s")).alias("score"))
+    return top_k(found, "user", [F.desc(F.round("score", 9)), F.col("item")], k)
+
+
 def i2i_recall(history: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """history: request, item, recency (0 is newest). index: src, dst, score."""
     scored = history.join(index, history["item"] == index["src"]).groupBy("request", F.col("dst").alias("found")).agg(
@@ -83,20 +109,27 @@ def reciprocal_ranks(routes: DataFrame, weights: dict[str, float], k: float = 60
 
 
 def normed(routes: DataFrame) -> DataFrame:
+    """Adds norm, the scores of each route scaled within each request."""
     return routes.withColumn("norm", min_max(["request", "route"], "score", 1.0))
 
 
-def hard_negatives(recalled: DataFrame, positives: DataFrame, n: int, most: int = 0) -> DataFrame:
-    """Of the first max(4 n, most) recalled items of each request, the first n that are no positives, as an array in order of rank."""
-    rest = top_k(recalled, "request", [F.col("rank"), F.col("item")], max(4 * n, most), "_q").drop("_q").join(positives.select("request", "item").distinct(), ["request", "item"], "left_anti")
-    first = top_k(rest, "request", [F.col("rank"), F.col("item")], n, "_r")
+def hard_negatives(recalled: DataFrame, positives: DataFrame, n: int, most: int = 0, teacher: DataFrame | None = None) -> DataFrame:
+    """Of the first max(4 n, most) recalled items of each request, the first n that are neither positives nor among teacher's results, as an array in order of rank."""
+    known = positives.select("request", "item")
+    known = (known if teacher is None else known.unionByName(teacher.select("request", "item"))).distinct()
+    rest = top_k(recalled, "request", [F.col("rank"), F.col("item")], max(4 * n, most), "_q").drop("_q").join(known, ["request", "item"], "left_anti")
+    once = top_k(rest, ["request", "item"], [F.col("rank")], 1, "_d").drop("_d")
+    first = top_k(once, "request", [F.col("rank"), F.col("item")], n, "_r")
     return first.groupBy("request").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "item"))), lambda x: x["item"]).alias("items"))
 
 
-def sampling(items: DataFrame, power: float = 0.75) -> DataFrame:
-    """items: item, imp. The share of (imp + 1) ^ power."""
-    rows = items.withColumn("w", F.pow(F.col("imp") + 1.0, F.lit(power)))
-    return rows.crossJoin(F.broadcast(rows.agg(F.sum("w").alias("all")))).select("item", (F.greatest(F.col("w"), F.lit(1e-8)) / F.col("all")).alias("p"))
+def sampling(items: DataFrame, power: float = 0.75, universe: DataFrame | None = None) -> DataFrame:
+    """items: item, imp. The share of (imp + 1) ^ power; items of universe (item) that items lack count as shown once."""
+    if universe is not None:
+        more = universe.select("item").distinct().join(items.select("item"), "item", "left_anti")
+        items = items.select("item", "imp").unionByName(more.select("item", F.lit(0).alias("imp")))
+    rows = items.withColumn("w", F.greatest(F.pow(F.col("imp") + 1.0, F.lit(power)), F.lit(1e-8)))
+    return rows.crossJoin(F.broadcast(rows.agg(F.sum("w").alias("all")))).select("item", (F.col("w") / F.col("all")).alias("p"))
 
 
 def recency(order: list[Column], key: str = "user") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .relational import top_k
+from .relational import quantiles, top_k
 
 
 def route_weights(normed: DataFrame, priors: dict[str, float]) -> DataFrame:
@@ -30,8 +30,10 @@ def route_weights(normed: DataFrame, priors: dict[str, float]) -> DataFrame:
 
 def relevance_grades(rows: DataFrame, label: str) -> DataFrame:
     """0 for labels that are not positive, else 1 to 5 by the quintile edges of the positives; equal edges count once."""
-    edges = rows.where(F.col(label) > 0).agg(F.array_distinct(F.percentile(label, F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8))))).alias("_edges"))
-    grade = 1 + F.size(F.filter("_edges", lambda e: e <= F.col(label)))
+    edges = quantiles(rows.where(F.col(label) > 0).withColumn(label, F.col(label).cast("double")), label, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], "_edges")
+    inner = F.array_distinct("_edges")
+    # equal edges count once; the least and the largest are no inner edges
+    grade = 1 + F.size(F.filter(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))), lambda e: e <= F.col(label)))
     return rows.crossJoin(F.broadcast(edges)).withColumn("grade", F.when(F.col(label) > 0, grade).otherwise(0)).drop("_edges")
 
 
@@ -78,18 +80,28 @@ def preference_counts(history: DataFrame, key: str, k: int) -> DataFrame:
     return top_k(counts, "user", [F.desc(F.round("weight", 9)), F.col(key)], k)
 
 
-def corrections(terms: DataFrame, unknown: DataFrame, least: float = 0.75) -> DataFrame:
-    """terms: term, freq. unknown: term. The best known term of the same two first letters, within one edit, if it scores enough."""
-    known = terms.select(F.col("term").alias("known"), "freq", F.substring("term", 1, 2).alias("prefix"))
-    pairs = unknown.select("term", F.substring("term", 1, 2).alias("prefix")).join(known, "prefix").where(
-        (F.abs(F.length("known") - F.length("term")) <= 1) & (F.col("known") != F.col("term"))
-    )
+def linkage_context(history: DataFrame, key: str, most_weighted: int = 8, most_counted: int = 6) -> DataFrame:
+    """history: user, recency, key. user, weighted (the keys by the sum of 1 / (1 + recency)) and counted (by how often), each at most so many."""
+    sums = history.groupBy("user", key).agg(F.sum(1 / (1 + F.col("recency"))).alias("_w"), F.count("*").alias("_n"))
+    w = Window.partitionBy("user")
+    placed = sums.withColumns({"_a": F.row_number().over(w.orderBy(F.desc(F.round("_w", 9)), key)), "_b": F.row_number().over(w.orderBy(F.desc("_n"), key))})
+    listed = lambda at, most: F.transform(F.sort_array(F.collect_list(F.when(F.col(at) <= most, F.struct(at, key)))), lambda x: x[key])
+    return placed.groupBy("user").agg(listed("_a", most_weighted).alias("weighted"), listed("_b", most_counted).alias("counted"))
+
+
+def corrections(terms: DataFrame, unknown: DataFrame, least: float = 0.75, pool: int = 80) -> DataFrame:
+    """terms: term, freq. unknown: term. The best of the first pool terms of its bucket, within one edit, if it scores enough. Known terms, those of at most
+    two characters, and those of Latin letters and digits stay as they are and are not returned."""
+    keyed = top_k(terms.withColumn("bucket", text.bucket_key(F.col("term"))), "bucket", [F.desc("freq"), F.desc(F.length("term")), F.col("term")], pool, "place")
+    known = keyed.select(F.col("term").alias("known"), "freq", "bucket", "place")
+    asked = unknown.where((F.length("term") > 2) & ~F.col("term").rlike("^[a-z0-9]+$")).join(terms.select("term"), "term", "left_anti")
+    pairs = asked.select("term", text.bucket_key(F.col("term")).alias("bucket")).join(known, "bucket").where(F.abs(F.length("known") - F.length("term")) <= 1)
     edits = pairs.withColumn("edits", F.levenshtein("term", "known", 1)).where("edits >= 0")
     letters = lambda c: F.array_distinct(F.split(c, ""))
     a, b = letters(F.col("term")), letters(F.col("known"))
     score = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) + 0.05 * F.log1p("freq") - 0.35 * F.col("edits")
     scored = edits.withColumn("score", score).where(F.col("score") >= least)
-    return top_k(scored, "term", [F.desc(F.round("score", 9)), F.col("known")], 1).select("term", "known", "score")
+    return top_k(scored, "term", [F.desc(F.round("score", 9)), F.col("place")], 1).select("term", "known", "score")
 
 
 def pairwise_loss(rows: DataFrame, group: str, score: str, label: str) -> DataFrame:
@@ -116,29 +128,44 @@ def neighbour_recall(history: DataFrame, near: DataFrame, k: int) -> DataFrame:
     return top_k(met.groupBy("user", "dst").agg(decayed.alias("score")), "user", [F.desc(F.round("score", 9)), F.col("dst")], k)
 
 
+# What a suggestion is said to be: a correction, a completion, a related search.
+HINTS = ("纠错建议", "热门补全", "相关搜索")
+PINNED = 20.0
+
+
 def suggestions(typed: DataFrame, counted: DataFrame, k: int) -> DataFrame:
-    """typed: typed, distinct. counted: query, n. The best queries that start with what was typed, hold it or share a term with it.
+    """typed: typed, distinct, normalised, and corrected, null where it stays. counted: query, n. The best queries that start with what was typed or its correction,
+    hold it or share a term with it, with a hint each; a correction comes first.
 
     A query can only hold what was typed where it has its first two characters, and shares a term only where it has the
     term: both are keys to join on, so no typed text meets the whole catalogue.
     """
-    t, q = F.col("typed"), F.col("query")
+    t, q, c = F.col("typed"), F.col("query"), F.col("meant")
 
     def keys(value: Column, grams: Column) -> Column:
         return F.array_distinct(F.concat(F.transform(text.seed_terms(value), lambda x: F.concat(F.lit("t"), x)), F.transform(grams, lambda x: F.concat(F.lit("g"), x))))
 
-    left = typed.where(t != "").select("typed", F.explode(keys(F.trim(t), F.array(F.substring(t, 1, 2)))).alias("key"))
-    singles = F.split(q, "")
+    corrected = F.col("corrected") if "corrected" in typed.columns else F.lit(None).cast("string")
+    asked = typed.where(t != "").select("typed", F.coalesce(corrected, t).alias("meant"))
+    both = lambda f: F.array_distinct(F.concat(f(t), f(c)))
+    left = asked.select("typed", "meant", F.explode(both(lambda x: keys(F.trim(x), F.array(F.substring(x, 1, 2))))).alias("key"))
+    singles = F.split(q, "")  # what was typed may be one character
     right = counted.select("query", "n", F.explode(keys(q, F.concat(text.bigrams(q), singles))).alias("key"))
-    pairs = left.join(right, "key").select("typed", "query", "n").distinct()
-    mine = text.seed_terms(F.trim(t))
+    pairs = left.join(right, "key").select("typed", "meant", "query", "n").distinct()
+    mine = text.seed_terms(F.trim(c))
     overlap = F.size(F.array_intersect(mine, text.seed_terms(q))) / F.greatest(F.size(mine), F.lit(1))
-    scored = pairs.withColumns({"_s": F.startswith(q, t), "_c": F.contains(q, t), "_o": overlap}).where("_s or _c or _o > 0")
+    starts, holds = F.startswith(q, t) | F.startswith(q, c), F.contains(q, t) | F.contains(q, c)
+    scored = pairs.withColumns({"_s": starts, "_c": holds, "_o": overlap}).where("_s or _c or _o > 0")
     score = (
-        F.when(q == t, 18.0).otherwise(0.0) + F.when(F.col("_s"), 9.0).otherwise(0.0) + F.when(F.col("_c"), 2.4).otherwise(0.0)
-        + 5.8 * F.col("_o") + 0.45 * F.log1p("n") - 0.05 * F.abs(F.length(q) - F.length(t))
+        F.when((q == t) | (q == c), 18.0).otherwise(0.0) + F.when(F.col("_s"), 9.0).otherwise(0.0) + F.when(F.col("_c"), 2.4).otherwise(0.0)
+        + 5.8 * F.col("_o") + 0.45 * F.log1p("n") - 0.05 * F.abs(F.length(q) - F.length(c))
     )
-    return top_k(scored.withColumn("score", score), "typed", [F.desc(F.round("score", 9)), F.desc("n"), F.length(q), q], k)
+    hint = F.when(q == c, HINTS[0]).when(F.col("_s"), HINTS[1]).otherwise(HINTS[2])
+    found = scored.where((q != c) | (t == c)).select("typed", "query", score.alias("score"), F.col("n").alias("base"), hint.alias("hint"))
+    pinned = asked.where(t != c).join(counted.withColumnRenamed("query", "meant"), "meant", "left").select(
+        "typed", c.alias("query"), F.lit(PINNED).alias("score"), F.coalesce("n", F.lit(0)).alias("base"), F.lit(HINTS[0]).alias("hint")
+    )
+    return top_k(found.unionByName(pinned), "typed", [F.desc(F.round("score", 9)), F.desc("base"), F.length(q), q], k)
 
 
 def lexical_gate(rows: DataFrame, enough: int) -> DataFrame:

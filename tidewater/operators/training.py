@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import ndcg
-from .relational import min_max
+from .relational import min_max, top_k
 
 
 def order_hash(key: Column, seed: int = 42) -> Column:
@@ -34,6 +34,12 @@ def group_split(rows: DataFrame, group: str, share: float = 0.2, seed: int = 42)
     return whole.unionByName(marked.where(inside).withColumn("_r", rank).select(group, (F.col("_r") <= F.col("_left")).alias("validation")))
 
 
+def truth_list(details: Column, results: Column, limit: int = 200) -> Column:
+    """The distinct items, at most limit, of a request's details (structs of position and item) by position, then item; without details, of its results."""
+    ordered = lambda c: F.filter(F.transform(F.array_sort(c), lambda x: x["item"]), lambda i: i >= 0)
+    return F.slice(F.array_distinct(F.when(F.size(details) > 0, ordered(details)).otherwise(ordered(results))), 1, limit)
+
+
 def best_negatives(rows: DataFrame, group: str, label: str, rank: str, most: int) -> DataFrame:
     """All positives, and the most best-ranked negatives of each group."""
     place = F.row_number().over(Window.partitionBy(group, F.col(label) > 0).orderBy(rank, "item"))
@@ -85,3 +91,123 @@ def drawn(draws: DataFrame, items: DataFrame, slots: int = 4096) -> DataFrame:
     crossed = ends.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_low") * slots), F.least(F.floor(F.col("_high") * slots), F.lit(slots - 1)))))
     met = draws.withColumn("_slot", F.floor(F.col("x") * slots)).join(crossed, "_slot").where((F.col("x") >= F.col("_low")) & (F.col("x") < F.col("_high")))
     return met.drop("_slot", "_low", "_high")
+
+
+def session_split(rows: DataFrame, session: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """rows with validation: whole sessions go to either side. The training side has floor(n * (1 - share)) sessions, one at least and not all; a single session is an error
+    for who calls, so none is for validation here."""
+    groups = rows.where(F.col(session).isNotNull()).select(session).distinct()
+    placed = _ranked_by_hash(groups, session, seed)
+    n = F.col("_all")
+    cut = F.least(F.greatest(F.lit(1), F.floor(n * (1.0 - share))), F.greatest(n - 1, F.lit(1)))
+    sides = placed.select(session, (F.col("_place") > cut).alias("validation"))
+    return rows.join(sides, session)
+
+
+def _ranked_by_hash(groups: DataFrame, key: str, seed: int) -> DataFrame:
+    """groups with _place, from 1, in the order of their hashes, and _all. Counts by the first four digits stand in for one sort of all."""
+    hashed = groups.withColumn("_h", order_hash(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, 4))
+    counts = hashed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    total = counts.agg(F.sum("_n").alias("_all"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
+    starts = counts.withColumn("_before", before).select("_p", "_before").crossJoin(F.broadcast(total))
+    return hashed.withColumn("_r", inside).join(starts, "_p").withColumn("_place", F.col("_before") + F.col("_r")).drop("_h", "_p", "_r", "_before")
+
+
+def exposed_negatives(rows: DataFrame) -> DataFrame:
+    """request and items: what was shown and not clicked, each once, by id. rows: request, item, click."""
+    return rows.where("click <= 0").groupBy("request").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def positive_sets(rows: DataFrame) -> DataFrame:
+    """request and items: what was clicked or has a positive label, each once, by id."""
+    return rows.where("click > 0 or y > 0").groupBy("request").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def with_external(rows: DataFrame, external: DataFrame, column: str = "hard_negatives") -> DataFrame:
+    """rows with the hard negatives of external (request, or request and item, and the column; the first row of a key by the smallest list); where these are
+    missing or empty the rows' own, else none."""
+    keys = [k for k in ("request", "item") if k in external.columns]
+    one = external.groupBy(*keys).agg(F.min(column).alias("_ext"))
+    own = F.coalesce(F.col(column), F.array().cast("array<bigint>")) if column in rows.columns else F.array().cast("array<bigint>")
+    return rows.join(one, keys, "left").withColumn(column, F.when(F.size("_ext") > 0, F.col("_ext")).otherwise(own)).drop("_ext")
+
+
+def list_coverage(rows: DataFrame, column: str) -> DataFrame:
+    """One row: the share of rows whose list is not empty, and the mean length."""
+    n = F.greatest(F.size(F.col(column)), F.lit(0))
+    return rows.agg(F.avg((n > 0).cast("double")).alias("coverage"), F.avg(n).alias("mean_length"), F.count("*").alias("n_rows"))
+
+
+def negative_mode(rows: DataFrame, wanted: str, columns: tuple[str, ...] = ("hard_negatives", "hard_neg_note_idxs")) -> tuple[str, str | None]:
+    """hard or easy, and the first of columns that rows have. auto and hard are hard where a list is not empty; hard falls back to easy."""
+    found = next((c for c in columns if c in rows.columns), None)
+    if wanted == "easy" or found is None:
+        return "easy", found
+    return ("easy" if rows.where(F.size(found) > 0).isEmpty() else "hard"), found
+
+
+def negatives_drawn(rows: DataFrame, items: DataFrame, n: int = 3, kept: int = 10, shares: tuple[int, int] = (1, 2), column: str = "hard_negatives", seed: int = 42) -> DataFrame:
+    """n negatives of each row (id and a list of hard negatives): of the first kept known hard ones as many as shares say, at least one, the rest by popularity.
+    items: item, w. id, turn, item and kind. A row without hard ones has easy ones alone. Draws are hashes, so reruns agree."""
+    known = rows.select("id", F.posexplode(F.slice(column, 1, kept)).alias("_at", "item")).join(items.select("item").distinct(), "item")
+    hard = known.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "item"))), lambda x: x["item"]).alias("_hard"))
+    n_hard = max(1, int(n * shares[0] / sum(shares) + 0.5))
+    turns = rows.select("id").join(hard, "id", "left").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    digits = F.substring(order_hash(F.concat_ws("|", "id", "turn"), seed), 1, 13)
+    drawn_at = turns.withColumn("x", F.conv(digits, 16, 10).cast("double") / float(16**13))
+    is_hard = (F.coalesce(F.size("_hard"), F.lit(0)) > 0) & (F.col("turn") < n_hard)
+    chosen = F.get("_hard", F.floor(F.col("x") * F.size("_hard")).cast("int"))
+    hards = drawn_at.where(is_hard).select("id", "turn", chosen.alias("item"), F.lit("hard").alias("kind"))
+    easy = drawn(drawn_at.where(~is_hard).select("id", "turn", "x"), items)
+    return hards.unionByName(easy.select("id", "turn", "item", F.lit("easy").alias("kind")))
+
+
+def item_meta(rows: DataFrame, columns: list[str], universe: DataFrame, order: str = "place") -> DataFrame:
+    """One row for each item of rows and of universe (item): the columns of its first row by order, 0 for nulls and for items that rows lack."""
+    first = top_k(rows, "item", [F.col(order)], 1, "_r").select("item", *columns)
+    every = rows.select("item").unionByName(universe.select("item")).distinct()
+    return every.join(first, "item", "left").select("item", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns))
+
+
+def restricted(features: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Features of the pairs among candidates."""
+    return features.join(candidates.select("request", "item"), ["request", "item"], "left_semi")
+
+
+def candidate_frame(recalled: DataFrame, most: int) -> DataFrame:
+    """The candidates up to a rank, of repeated ones the best rank."""
+    return top_k(recalled.where(F.col("rank") <= most), ["request", "item"], [F.col("rank")], 1, "_r").drop("_r")
+
+
+def group_sizes(rows: DataFrame, group: str = "request") -> DataFrame:
+    """Rows of each group, in order of the group: what a ranker is told beside rows sorted by group."""
+    return rows.groupBy(group).agg(F.count("*").alias("n"))
+
+
+def vocabulary(values: DataFrame, column: str) -> DataFrame:
+    """value and code, from 0, of the distinct values as text, in their order; nulls are one value, UNK. Numbered by ranges of the first two characters, so one
+    task numbers a range and not all values."""
+    each = values.select(F.coalesce(F.col(column).cast("string"), F.lit("UNK")).alias("value")).distinct().withColumn("_p", F.substring("value", 1, 2))
+    counts = each.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy("value"))
+    return each.withColumn("_r", inside).join(counts.withColumn("_before", before).select("_p", "_before"), "_p").select("value", (F.col("_before") + F.col("_r") - 1).alias("code"))
+
+
+def encoded(rows: DataFrame, vocabularies: dict[str, DataFrame]) -> DataFrame:
+    """rows with a column <name>_enc for each vocabulary: the code of the column's value as text, 0 for null and unknown ones."""
+    for name, codes in vocabularies.items():
+        named = codes.select(F.col("value").alias(f"_{name}"), F.col("code").alias(f"{name}_enc"))
+        rows = rows.join(named, F.col(name).cast("string") == F.col(f"_{name}"), "left").drop(f"_{name}").withColumn(f"{name}_enc", F.coalesce(f"{name}_enc", F.lit(0)))
+    return rows
+
+
+def vocabulary_sizes(vocabularies: dict[str, DataFrame]) -> DataFrame:
+    """name and size, the largest code and one more, of each vocabulary that is not empty."""
+    rows = [codes.agg(F.max("code").alias("m")).where("m is not null").select(F.lit(name).alias("name"), (F.col("m") + 1).alias("size")) for name, codes in vocabularies.items()]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import top_k
@@ -29,13 +29,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(lengths <= 1e-12, F.lit(0.0)).otherwise(dot(a, b) / lengths)
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, score: Column, others_only: bool = True) -> DataFrame:
-    """queries: query_id, q, a bounded set that is broadcast behind a check of its size by Spark. vectors: vec_id, v."""
-    where = F.col("query_id") != F.col("vec_id") if others_only else F.lit(True)
-    scored = vectors.join(queries, where).select("query_id", "vec_id", score.alias("score"))
-    return top_k(scored, "query_id", [F.desc(F.round("score", 9)), F.col("vec_id")], k)
-
-
 def blocked_top_k(queries: DataFrame, vectors: DataFrame, k: int, vector_block: int = 8192, query_block: int = 2048) -> DataFrame:
     """queries: query_id, q. vectors: vec_id, v. The k largest inner products of each query with other vectors of its dimension.
 
@@ -65,9 +58,11 @@ def blocked_top_k(queries: DataFrame, vectors: DataFrame, k: int, vector_block:
 
 
 def mean_vector(rows: DataFrame, group: str, vector: str, weight: Column | None = None) -> DataFrame:
-    """Weighted means by position, as long rows: group, at, value."""
-    w = F.lit(1.0) if weight is None else F.greatest(weight, F.lit(0.0))
-    long = rows.select(group, w.alias("w"), F.posexplode(vector).alias("at", "x"))
+    """Weighted means by position, as long rows: group, at, value. Weights below 0 count 0; where all of a group's are 0, all count alike."""
+    if weight is not None:
+        w = F.greatest(weight.cast("double"), F.lit(0.0))
+        rows = rows.withColumn("_w", F.when(F.sum(w).over(Window.partitionBy(group)) <= 1e-12, F.lit(1.0)).otherwise(w))
+    long = rows.select(group, (F.lit(1.0) if weight is None else F.col("_w")).alias("w"), F.posexplode(vector).alias("at", "x"))
     return long.groupBy(group, "at").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("value"))
 
 

@@ -9,9 +9,9 @@ from ..functions import text
 from ..operators import recall, serving
 from ..operators.relational import top_k
 from ..sources.roles import IMP, REQ, impressions, requests, table
-from .features import query
+from .features import TOKEN, query
 from .ranking import HIST, history
-from .search import UQ, counted, pairs, seeds
+from .search import UQ, counted, nq, pairs, seeds
 
 PREF = "bp as (select u, p_brand as b, sum(1 / (1 + rec)) as w from his join part on p_partkey = i group by 1, 2), tg as (select u, list(b) as tags from (select * from bp qualify row_number() over (partition by u order by round(w, 9) desc, b) <= 3) group by 1)"
 
@@ -61,16 +61,16 @@ def complement_negatives(spark: SparkSession, d: str) -> DataFrame:
     return recall.complement_negatives(rows.select("request", "item", F.col("position").alias("rank")), rows.where("position <= 2"), rows.where("click > 0"), 6, 2)
 
 
-@query(f"""with {IMP}, {REQ}, {HIST}, e as (select vec_id, list_transform(embedding[1:3], lambda x: cast(x as double)) as v from embeddings where vec_id % 5 <> 0), n as (select count(*) as n from embeddings),
+@query(f"""with {IMP}, {REQ}, {HIST}, e as (select vec_id, cast(embedding as double[]) as v from embeddings where vec_id % 5 <> 0), n as (select count(*) as n from embeddings),
 h as (select u, rec, i % n.n as vec_id from his, n), k as (select u, v, row_number() over (partition by u order by rec, vec_id) as r from h join e using (vec_id)),
-g as (select u, list(v order by r) as f from k where r <= 5 group by 1)
-select u as "user", coalesce(len(f), 0) as n, list_concat(coalesce(f, []), list_transform(range(5 - coalesce(len(f), 0)), lambda j: [0.0::double, 0.0::double, 0.0::double])) as sequence from (select distinct u from h) left join g using (u)""")
+g as (select u, list(v order by r) as f from k where r <= 20 group by 1)
+select u as "user", coalesce(len(f), 0) as n, list_concat(coalesce(f, []), list_transform(range(20 - coalesce(len(f), 0)), lambda j: list_transform(range(64), lambda m: 0.0::double))) as sequence from (select distinct u from h) left join g using (u)""")
 def history_sequences(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     n = e.agg(F.count("*").alias("n"))
     h = history(spark, d).crossJoin(F.broadcast(n)).select("user", "recency", (F.col("item") % F.col("n")).alias("vec_id"))
-    v = e.where("vec_id % 5 <> 0").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("v"))
-    return serving.padded_sequences(h, v, 5, 3)
+    v = e.where("vec_id % 5 <> 0").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return serving.padded_sequences(h, v, 20, 64)
 
 
 @query("""with t as (select avg(c_acctbal) as m, stddev_pop(c_acctbal) as s from customer where c_custkey % 5 <> 0)
@@ -80,27 +80,18 @@ def fitted_z_score(spark: SparkSession, d: str) -> DataFrame:
     return serving.fitted_z_scores(rows, rows.where("user % 5 <> 0"), ["z"]).withColumn("z", F.round("z", 6))
 
 
-@query(f"""with {UQ}, tq as (select query from cat order by n desc, query limit 20), ti as (select i.item_id, lower(substr(i.text, 1, 60)) as t, lower(i.text) as c from benchmark i),
-x as (select query, item_id, t, c, {seeds('query')} as qt, {pairs('query')} as g from tq, ti), h as (select * from x where len(list_filter(qt, lambda k: list_contains(regexp_extract_all(c, '[a-z0-9]+'), k))) > 0),
+@query(f"""with {UQ}, ti as (select i.item_id, {nq("substr(i.text, 1, 60)")} as t, {nq("i.text")} as c from benchmark i),
+x as (select query, item_id, t, c, {seeds('query')} as qt, {pairs('query')} as g from cat, ti), h as (select * from x where len(list_filter(qt, lambda k: list_contains(regexp_extract_all(c, '{TOKEN}'), k))) > 0),
 s as (select query, item_id, case when contains(t, query) then 3.2 else 0 end + case when contains(c, query) then 1.0 else 0 end
  + 1.4 * len(list_intersect(g, {pairs('t')})) / greatest(1, len(g)) + 0.35 * len(list_intersect(g, {pairs('substr(c, 1, 500)')})) / greatest(1, len(g))
  + 1.7 * len(list_filter(qt, lambda k: contains(t, k))) / greatest(1, len(qt)) + 0.55 * len(list_filter(qt, lambda k: contains(c, k))) / greatest(1, len(qt)) as s from h)
 select query, item_id, round(s, 6) as score from s""")
 def item_search(spark: SparkSession, d: str) -> DataFrame:
-    """The catalogue's first queries against the items that hold a term of theirs, found by an inverted index."""
-    return searched(spark, d, counted(spark, d).orderBy(F.desc("n"), "query").limit(20).select("query"))
-
-
-@query()
-def item_search_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every query of the catalogue against the items that hold a term of its. No SQL: tests lift the limits of the SQL above."""
-    return searched(spark, d, counted(spark, d).select("query"))
-
-
-def searched(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("t"), F.lower("text").alias("c"))
+    """Every query of the catalogue against the items that hold a term of its, found by an inverted index."""
+    plain = text.normalized
+    items = table(spark, d, "benchmark").select("item_id", plain(F.substring("text", 1, 60)).alias("t"), plain(F.col("text")).alias("c"))
     index = items.select("item_id", F.explode(F.array_distinct(text.tokens(F.col("c")))).alias("term"))
-    met = asked.withColumn("term", F.explode(text.seed_terms(F.col("query")))).join(index, "term").select("query", "item_id").distinct()
+    met = counted(spark, d).select("query").withColumn("term", F.explode(text.seed_terms(F.col("query")))).join(index, "term").select("query", "item_id").distinct()
     return met.join(items, "item_id").select("query", "item_id", F.round(text.search_score(F.col("query"), F.col("t"), F.col("c")), 6).alias("score"))
 
 

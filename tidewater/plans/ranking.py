@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, recall, vectors
+from ..operators import assembly, metrics, recall, vectors
 from ..operators.relational import min_max, pessimistic, top_k
 from ..sources.roles import IMP, REQ, impressions, requests, table
 from .features import LAB, labelled, query
 
 EDGE = f"""{IMP}, {REQ}, {LAB}, e0 as (select user_id as u, item as i, max(y) as s from lab join req using (request) group by all having max(y) > 0),
-e1 as (select * from (select *, row_number() over (partition by u order by s desc, i) as r from e0) where r <= 20),
-e as (select u, i, s from (select *, row_number() over (partition by i order by s desc, u) as q from e1) where q <= 20)"""
+e1 as (select * from (select *, row_number() over (partition by u order by s desc, i) as r from e0) where r <= 300),
+e as (select u, i, s from (select *, row_number() over (partition by i order by s desc, u) as q from e1) where q <= 500),
+e3 as (select u, i, s from (select *, row_number() over (partition by i order by s desc, u) as q from e1) where q <= 300)"""
 HIST = f"""his as (select * from (select user_id as u, item as i, row_number() over (partition by user_id order by ts desc, request desc, item) - 1 as rec
   from imp join req using (request) where click > 0) where rec < 20)"""
 
 
-def graph(spark: SparkSession, d: str, items_a_user: int = 20, users_an_item: int = 20) -> DataFrame:
+def graph(spark: SparkSession, d: str) -> DataFrame:
     rows = labelled(spark, d).join(requests(spark, d), "request").select("user", "item", F.col("y").alias("label"))
-    return recall.trimmed(recall.edges(rows), items_a_user, users_an_item)
+    return recall.edges(rows)
 
 
-@query(f"""with {EDGE}, n as (select u, 1 / sqrt(count(*)) as w from e group by 1), x as (select u, i, w from e join n using (u)),
-p as (select a.u as u, b.u as v, a.i as i, a.w * b.w as w from x a join x b on a.i = b.i and a.u < b.u),
-c as (select u, v, count(*) as n, first(w) as w from p group by 1, 2 having count(*) > 1),
-q as (select u, v, i from p),
-s as (select p.i as src, q.i as dst, sum(c.w / (0.5 + c.n)) as score from p join q on p.u = q.u and p.v = q.v and p.i <> q.i join c on c.u = p.u and c.v = p.v group by 1, 2)
-select src, dst, round(score, 6) as score from (select *, row_number() over (partition by src order by round(score, 9) desc, dst) as r from s) where r <= 200""")
+@query(f"""with {EDGE}, n as (select u, count(*) as n from e1 group by 1),
+p as (select a.u as u, b.u as v, a.i as i from e3 a join e3 b on a.i = b.i and a.u < b.u),
+c as (select u, v from p group by 1, 2 having count(*) > 1),
+o as (select c.u, c.v, 1 / sqrt(x.n) / sqrt(y.n) / (1.0 + (select count(*) from e1 f join e1 g on f.i = g.i where f.u = c.u and g.u = c.v)) as w from c join n x on x.u = c.u join n y on y.u = c.v),
+s as (select p.i as src, q.i as dst, sum(o.w) as score from p join p q on p.u = q.u and p.v = q.v and p.i <> q.i join o on o.u = p.u and o.v = p.v group by 1, 2),
+m as (select a.i as src, b.i as dst, count(*) as c from e3 a join e1 b on a.u = b.u and a.i <> b.i group by 1, 2 having count(*) >= 2 qualify row_number() over (partition by a.i order by count(*) desc, b.i) <= 600)
+select src, dst, round(score, 6) as score from (select *, row_number() over (partition by src order by round(score, 9) desc, dst) as r from s join m using (src, dst)) where r <= 120""")
 def swing_index(spark: SparkSession, d: str) -> DataFrame:
     return recall.swing(graph(spark, d)).select("src", "dst", F.round("score", 6).alias("score"))
 
@@ -36,56 +38,65 @@ USERCF = f"""{EDGE}, n as (select i, 1 / ln(1 + count(*)) as idf from e group by
 m as (select u, sqrt(sum(s * s * idf)) as norm from x group by 1),
 t as (select a.u as u, b.u as v, sum(a.s * b.s * a.idf) as dot from x a join x b on a.i = b.i and a.u <> b.u group by 1, 2),
 z as (select t.u, t.v, dot / (m.norm * k.norm) as score from t join m on m.u = t.u join m k on k.u = t.v),
-uu as (select u, v, score from (select *, row_number() over (partition by u order by round(score, 9) desc, v) as r from z) where r <= 50)"""
+uu as (select u, v, score from (select *, row_number() over (partition by u order by round(score, 9) desc, v) as r from z) where r <= 120)"""
 
 
 @query(f'with {USERCF} select u as "user", v as other, round(score, 6) as score from uu')
 def usercf_index(spark: SparkSession, d: str) -> DataFrame:
-    return recall.usercf(graph(spark, d)).select("user", "other", F.round("score", 6).alias("score"))
+    return recall.usercf(recall.trimmed(graph(spark, d), 300, 500), 120).select("user", "other", F.round("score", 6).alias("score"))
 
 
 @query(f"""with {USERCF}, f as (select uu.u, e.i, sum(uu.score * e.s) as score from uu join e on e.u = uu.v group by 1, 2)
-select u as "user", i as item, round(score, 6) as score from (select *, row_number() over (partition by u order by round(score, 9) desc, i) as r from f) where r <= 30""")
+select u as "user", i as item, round(score, 6) as score from (select *, row_number() over (partition by u order by round(score, 9) desc, i) as r from f) where r <= 320""")
 def usercf_recall(spark: SparkSession, d: str) -> DataFrame:
-    return recalled(graph(spark, d))
+    g = recall.trimmed(graph(spark, d), 300, 500)
+    return recall.usercf_recall(recall.usercf(g, 120), g, 320).select("user", "item", F.round("score", 6).alias("score"))
 
 
-def recalled(g: DataFrame) -> DataFrame:
-    near = recall.usercf(g).select("user", "other", F.col("score").alias("sim"))
-    found = near.join(g.select(F.col("user").alias("other"), "item", "score"), "other").groupBy("user", "item").agg(F.sum(F.col("sim") * F.col("score")).alias("score"))
-    return top_k(found, "user", [F.desc(F.round("score", 9)), F.col("item")], 30).select("user", "item", F.round("score", 6).alias("score"))
-
-
-# The same with the reference's limits in production. No SQL: tests lift the limits of the SQL above.
-@query()
-def swing_index_whole(spark: SparkSession, d: str) -> DataFrame:
-    return recall.swing(graph(spark, d, 300, 300)).select("src", "dst", F.round("score", 6).alias("score"))
-
-
-@query()
-def usercf_index_whole(spark: SparkSession, d: str) -> DataFrame:
-    return recall.usercf(graph(spark, d, 300, 500)).select("user", "other", F.round("score", 6).alias("score"))
+def history(spark: SparkSession, d: str) -> DataFrame:
+    rows = impressions(spark, d).where("click > 0").join(requests(spark, d), "request")
+    return rows.select("user", "item", recall.recency([F.desc("ts"), F.desc("request"), F.col("item")]).alias("recency")).where("recency < 20")
 
 
-@query()
-def usercf_recall_whole(spark: SparkSession, d: str) -> DataFrame:
-    return recalled(graph(spark, d, 300, 500))
+#: What a user clicked in earlier requests, the newest twenty for each request, 0 the newest.
+BEFORE = """ck as (select user_id as u, request, item, row_number() over (partition by user_id order by ts, request, item) as n from imp join req using (request) where click > 0),
+rq as (select user_id as u, request, coalesce((select count(*) from ck join req r2 on r2.request = ck.request where ck.u = req.user_id and (r2.ts, r2.request) < (req.ts, req.request)), 0) as had from req),
+bef as (select rq.u, rq.request, ck.item, had - n as rec from rq join ck on ck.u = rq.u and ck.n <= had and ck.n > had - 20)"""
 
 
-def history(spark: SparkSession, d: str) -> DataFrame:
-    rows = impressions(spark, d).where("click > 0").join(requests(spark, d), "request")
-    return rows.select("user", "item", recall.recency([F.desc("ts"), F.desc("request"), F.col("item")]).alias("recency")).where("recency < 20")
+def clicks_before(spark: SparkSession, d: str, most: int = 20) -> DataFrame:
+    """user, request, item and recency of what the user clicked before each request. Clicks are counted in order of time, so a request knows which numbers it wants,
+    and a join by user and number finds them."""
+    req = requests(spark, d)
+    clicked = impressions(spark, d).where("click > 0").join(req, "request").select("user", "ts", "request", "item")
+    each = req.join(clicked.groupBy("request").agg(F.count("*").alias("_c")), "request", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
+    order = Window.partitionBy("user").orderBy("ts", "request")
+    had = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    wanted = each.select("user", "request", had.alias("had")).where("had > 0")
+    wanted = wanted.withColumn("n", F.explode(F.sequence(F.greatest(F.col("had") - most + 1, F.lit(1)), F.col("had"))))
+    numbered = clicked.select("user", "item", F.row_number().over(Window.partitionBy("user").orderBy("ts", "request", "item")).cast("long").alias("n"))
+    return wanted.join(numbered, ["user", "n"]).select("user", "request", "item", (F.col("had") - F.col("n")).alias("recency"))
 
 
-@query(f"""with {IMP}, {REQ}, {HIST}, t as (select a.i as src, b.i as dst, sum(1 / (1 + 0.32 * a.rec) * case when a.rec < 3 then 1.18 else 1 end) as score
-  from his a join his b on a.u = b.u and a.rec = b.rec + 1 and a.i <> b.i group by 1, 2)
+@query(f"""with {IMP}, {REQ}, {LAB}, {BEFORE}, t as (select bef.item as src, lab.item as dst, sum((1 + least(2.5, 0.22 * y)) * case when rec < 3 then 1.18 else 1 end / (1 + 0.32 * rec)) as score
+  from bef join lab using (request) where y > 0 and bef.item <> lab.item group by 1, 2)
 select src, dst, round(score, 6) as score from (select *, row_number() over (partition by src order by round(score, 9) desc, dst) as r from t) where r <= 200""")
 def sequence_transitions(spark: SparkSession, d: str) -> DataFrame:
-    h = history(spark, d)
-    weight = 1 / (1 + 0.32 * F.col("a.recency")) * F.when(F.col("a.recency") < 3, 1.18).otherwise(1.0)
-    pairs = h.alias("a").join(h.alias("b"), F.expr("a.user = b.user and a.recency = b.recency + 1 and a.item <> b.item"))
-    scored = pairs.groupBy(F.col("a.item").alias("src"), F.col("b.item").alias("dst")).agg(F.sum(weight).alias("score"))
-    return top_k(scored, "src", [F.desc(F.round("score", 9)), F.col("dst")], 200).select("src", "dst", F.round("score", 6).alias("score"))
+    steps = clicks_before(spark, d).join(labelled(spark, d).select("request", F.col("item").alias("dst"), "y"), "request").withColumnRenamed("item", "src")
+    return recall.sequence_transitions(steps).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {IMP}, {REQ}, {LAB}, {BEFORE}, t as (select bef.item as src, lab.item as dst, sum((1 + least(2.5, 0.22 * y)) * case when rec < 3 then 1.18 else 1 end / (1 + 0.32 * rec)) as score
+  from bef join lab using (request) where y > 0 and bef.item <> lab.item group by 1, 2),
+i as (select src, dst, score from t qualify row_number() over (partition by src order by round(score, 9) desc, dst) <= 200),
+f as (select request, dst, sum(score / (1 + rec)) as s from bef join i on src = bef.item group by 1, 2)
+select request, dst as item, round(s, 6) as score from f qualify row_number() over (partition by request order by round(s, 9) desc, dst) <= 30""")
+def transition_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Items that follow what was clicked before, over an index of transitions; items of the history are not left out."""
+    before = clicks_before(spark, d)
+    steps = before.join(labelled(spark, d).select("request", F.col("item").alias("dst"), "y"), "request").withColumnRenamed("item", "src")
+    found = recall.i2i_recall(before.select("request", "item", "recency"), recall.sequence_transitions(steps).select("src", "dst", "score"), 30)
+    return found.select("request", F.col("found").alias("item"), F.round("score", 6).alias("score"))
 
 
 @query(f"""with {IMP}, i as (select item, 1.0 * sum("like") + 1.2 * sum(collect) + 0.8 * sum(comment) + 0.2 * count(*) as score from imp group by 1)
@@ -168,15 +179,25 @@ def hits_at_3(spark: SparkSession, d: str) -> DataFrame:
     return r.select("request", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "hit", F.round("reciprocal", 6).alias("mrr"), F.round("average_precision", 6).alias("ap"))
 
 
-@query(f"""with {IMP}, p as (select request, item, 0.5 * l + 0.5 * x as g, position from (select *, case when max(price) over w = min(price) over w then 0.0 else (price - min(price) over w) / (max(price) over w - min(price) over w + 1e-6) end as l,
- case when max(page_time) over w = min(page_time) over w then 0.0 else (page_time - min(page_time) over w) / (max(page_time) over w - min(page_time) over w + 1e-6) end as x from imp window w as (partition by request)))
-select request, item, round(0.8 * g + 0.2 / position, 6) as prerank_score, row_number() over (partition by request order by round(0.8 * g + 0.2 / position, 9) desc, position) as prerank from p""")
+PRE = f"""pr as (select request, item, position, click, "like", 0.5 * l + 0.5 * x as gbdt, greatest(coalesce(case when position % 3 <> 0 then price / 99991 end, 0), coalesce(case when position % 2 = 1 then page_time / 50 end, 0)) as dssm,
+  collect * 0.06 + share * 0.14 as boost from (select *, case when max(price) over w = min(price) over w then 0.0 else (price - min(price) over w) / (max(price) over w - min(price) over w + 1e-6) end as l,
+ case when max(page_time) over w = min(page_time) over w then 0.0 else (page_time - min(page_time) over w) / (max(page_time) over w - min(page_time) over w + 1e-6) end as x from imp window w as (partition by request)))"""
+
+
+def prerank_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Impressions as candidates: scores of two boosted models, a vector score that some lack, and a linkage boost."""
+    rows = impressions(spark, d).withColumns({"lgb": min_max("request", "price", 0.0, 1e-6), "xgb": min_max("request", "page_time", 0.0, 1e-6)})
+    scored = rows.withColumns({
+        "gbdt_score": assembly.ensemble(["lgb", "xgb"]), "score_ann": F.when(F.col("position") % 3 != 0, F.col("price") / 99991),
+        "recall_score": F.when(F.col("position") % 2 == 1, F.col("page_time") / 50), "linkage_boost": F.col("collect") * 0.06 + F.col("share") * 0.14,
+    })
+    return scored.withColumns({"dssm_score": assembly.vector_score(), "rank": F.col("position")})
+
+
+@query(f"""with {IMP}, {PRE} select request, item, round(0.8 * gbdt + 0.2 * dssm + 0.18 * boost, 6) as prerank_score, row_number() over (partition by request order by round(0.8 * gbdt + 0.2 * dssm + 0.18 * boost, 9) desc, position, item) as prerank from pr qualify prerank <= 4""")
 def prerank(spark: SparkSession, d: str) -> DataFrame:
-    rows = impressions(spark, d)
-    gbdt = 0.5 * min_max("request", "price", 0.0, 1e-6) + 0.5 * min_max("request", "page_time", 0.0, 1e-6)
-    scored = rows.withColumn("s", 0.8 * gbdt + 0.2 / F.col("position"))
-    place = F.row_number().over(Window.partitionBy("request").orderBy(F.desc(F.round("s", 9)), "position"))
-    return scored.select("request", "item", F.round("s", 6).alias("prerank_score"), place.alias("prerank"))
+    first = assembly.preranked(prerank_candidates(spark, d), 4, linkage="linkage_boost")
+    return first.select("request", "item", F.round("preranking_score", 6).alias("prerank_score"), F.col("preranking_rank").alias("prerank"))
 
 
 @query(f"""with {IMP}, x as (select request, item, click, case when position % 2 = 1 then price end as s from imp),
@@ -187,17 +208,10 @@ def missing_score_fill(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("request", "item", F.round(pessimistic(rows, "request", "s", "click"), 6).alias("score"))
 
 
-@query("""with q as (select vec_id as query_id, embedding as q from embeddings where vec_id < 20), s as (select query_id, vec_id, list_dot_product(cast(q as double[]), cast(embedding as double[])) as score from q, embeddings where vec_id <> query_id)
+@query("""with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id, list_dot_product(cast(q as double[]), cast(embedding as double[])) as score from q, embeddings where vec_id <> query_id)
 select query_id, vec_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as r from s) where r <= 10""")
 def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    q = v.where("vec_id < 20").toDF("query_id", "q")
-    return vectors.exact_top_k(q, v, 10, vectors.dot(F.col("q"), F.col("v"))).select("query_id", "vec_id", F.round("score", 6).alias("score"))
-
-
-@query()
-def vector_top_k_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest of every vector whose id is divisible by 50, searched in blocks. No SQL: tests lift the limits of the SQL above."""
+    """The ten nearest of every vector whose id is divisible by 50, searched in blocks."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return vectors.blocked_top_k(v.where("vec_id % 50 = 0").toDF("query_id", "q"), v, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 

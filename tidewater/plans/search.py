@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import search
 from ..operators.relational import top_k
 from ..sources.roles import table
-from .features import query
+from .features import TOKEN, query
 
 
 def distinct_list(expr: str) -> str:
@@ -18,7 +18,24 @@ def distinct_list(expr: str) -> str:
 
 
 def seeds(q: str) -> str:
-    return distinct_list(f"list_filter(list_concat(regexp_extract_all({q}, '[a-z0-9]+'), [replace({q}, ' ', '')]), lambda t: t <> '')")
+    parts = f"flatten(list_transform(regexp_extract_all({q}, '{TOKEN}'), lambda c: case when regexp_full_match(c, '[\\x{{4e00}}-\\x{{9fff}}]{{{{4,}}}}') then [c, c[1:2], c[-2:]] else [c] end))".replace("{{4,}}", "{4,}")
+    return distinct_list(f"list_filter(list_concat({parts}, [replace({q}, ' ', '')]), lambda t: t <> '')")
+
+
+def nq(q: str) -> str:
+    """SQL of a normalised query."""
+    q = f"lower(trim(regexp_replace(coalesce({q}, ''), '[\\x00-\\x1f\\x7f]', ' ', 'g')))"
+    for a, b in (*text.ALIASES.items(),):
+        q = f"replace({q}, '{a}', '{b}')"
+    q = f"translate({q}, '{''.join(text.CHARACTERS)}', '{''.join(text.CHARACTERS.values())}')"
+    for a, b in text.TIMES.items():
+        q = f"replace({q}, '{a}', '{b}')"
+    for _ in range(2):  # the digit between two commas belongs to both
+        q = f"regexp_replace({q}, '(\\d),(\\d)', '\\1\\2', 'g')"
+    for words, unit in text.UNITS:
+        q = f"regexp_replace({q}, '(\\d+(?:\\.\\d+)?)\\s*(?:{words})', '\\1{unit}', 'g')"
+    noise = text.NOISE.replace("'", "''")
+    return f"rtrim(substr(trim(regexp_replace(regexp_replace({q}, '{noise}', ' ', 'g'), '\\s+', ' ', 'g')), 1, 100))"
 
 
 def pairs(s: str) -> str:
@@ -29,8 +46,7 @@ def sets(a: str, b: str) -> str:
     return f"len(list_intersect({a}, {b})) / greatest(1, len(list_distinct(list_concat({a}, {b}))))"
 
 
-UQ = r"""uq as (select conv_id, turn, trim(substr(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '(\d),(\d)', '\1\2', 'g'), '[^\p{L}\p{N}. ]+', ' ', 'g'), ' +', ' ', 'g')), 1, 100)) as q
-  from conversations where role = 'user'),
+UQ = f"""uq as (select conv_id, turn, {nq('text')} as q from conversations where role = 'user'),
 sq as (select conv_id, turn, q, array_to_string(string_split(q, ' ')[1:3], ' ') as query from uq),
 cat as (select query, count(*) as n from sq where query <> '' group by 1)"""
 TERM = f"""{UQ}, tf as (select term, sum(n) as freq from (select n, unnest({seeds('query')}) as term from cat) where len(term) >= 2 group by 1 having sum(n) >= 2 and not (sum(n) >= 200 and len(term) <= 2)),
@@ -40,7 +56,7 @@ br as (select *, row_number() over (partition by bucket order by freq desc, len(
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """User turns: conv_id, turn, q (the normalised text), query (its first three words)."""
-    rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.trim(text.normalized(F.col("text"))).alias("q"))
+    rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", text.normalized(F.col("text")).alias("q"))
     return rows.withColumn("query", F.substring_index("q", " ", 3))
 
 
@@ -103,14 +119,3 @@ def matched_requests(spark: SparkSession, d: str) -> DataFrame:
     earlier = past.join(last.select("user", "at"), "user").where("request < at").drop("at")
     found = search.best_requests(last.select("user", "query"), earlier)
     return found.select(F.col("user").alias("conv_id"), F.col("query").alias("asked"), "request", F.round("score", 6).alias("score"))
-
-
-@query(f"""with {UQ}, s as (select conv_id, turn, list_filter({seeds('q')}, lambda t: t not in ('the', 'a', 'of', 'to', 'and')) as high, {seeds('q')} as terms from uq),
-h as (select conv_id, turn, case when len(high) = 0 then terms else high end as t from s)
-select conv_id, turn, t[1:3] as must, t[1:4] as core, t[5:8] as optional, array_to_string(t[1:8], ' ') as service_query from h""")
-def query_plans(spark: SparkSession, d: str) -> DataFrame:
-    terms = text.seed_terms(F.col("q"))
-    high = F.filter(terms, lambda t: ~t.isin("the", "a", "of", "to", "and"))
-    t = F.col("t")
-    planned = turns(spark, d).select("conv_id", "turn", F.when(F.size(high) == 0, terms).otherwise(high).alias("t"))
-    return planned.select("conv_id", "turn", F.slice(t, 1, 3).alias("must"), F.slice(t, 1, 4).alias("core"), F.slice(t, 5, 4).alias("optional"), F.array_join(F.slice(t, 1, 8), " ").alias("service_query"))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import metrics, recall, serving, vectors
+from ..operators import evaluation, metrics, recall, serving, vectors
 from ..operators.relational import min_max, top_k
 from ..sources.roles import BEH, IMP, REQ, behaviours, impressions, requests, table
 from ..streaming.behaviour import front_list
-from .features import LAB, labelled, query
+from .features import LAB, TOKEN, labelled, query
 from .ranking import HIST, ROUTES, history, routes
 
 
@@ -30,14 +30,17 @@ def discretized_relevance(spark: SparkSession, d: str) -> DataFrame:
     return serving.relevance_grades(labelled(spark, d).withColumn("y", F.col("y").cast("double")), "y").select("request", "item", "grade")
 
 
-@query(f"""with {IMP}, p as (select request, sum(click) as p, sum(case when position <= 1 then click else 0 end) as h1, sum(case when position <= 3 then click else 0 end) as h3,
-  sum(case when position <= 5 then click else 0 end) as h5, min(case when click = 1 then position end) as f from imp group by 1 having sum(click) > 0)
-select round(avg(h1 / p), 6) as recall_1, round(avg(h3 / p), 6) as recall_3, round(avg(h5 / p), 6) as recall_5, round(avg(1 / f), 6) as mrr, round(median(f), 6) as first_hit from p""")
+@query(f"""with {IMP}, {LAB}, r as (select request, item, row_number() over (partition by request order by price desc, item) as rank from imp where position % 3 <> 0),
+h as (select l.request, rank from lab l left join r using (request, item) where y > 0),
+e as (select request, min(rank) as f, {', '.join(f'count(case when rank <= {k} then 1 end) / count(*) as r{k}, max(case when rank <= {k} then 1 else 0 end) as h{k}' for k in (1, 3, 100))} from h group by 1)
+select {', '.join(f'round(avg(r{k}), 6) as recall_{k}, round(avg(h{k}), 6) as hit_{k}, round(avg(case when f <= {k} then 1 / f else 0 end), 6) as mrr_{k}' for k in (1, 3, 100))},
+ coalesce(median(f), -1.0) as first_hit, count(*) as n_requests from e""")
 def full_recall(spark: SparkSession, d: str) -> DataFrame:
-    rows = impressions(spark, d)
-    hit = lambda k: F.sum(F.when(F.col("position") <= k, F.col("click")).otherwise(0)) / F.sum("click")
-    g = rows.groupBy("request").agg(F.sum("click").alias("p"), *(hit(k).alias(f"r{k}") for k in (1, 3, 5)), F.min(F.when(F.col("click") == 1, F.col("position"))).alias("f")).where("p > 0")
-    return g.agg(*(F.round(F.avg(f"r{k}"), 6).alias(f"recall_{k}") for k in (1, 3, 5)), F.round(F.avg(1 / F.col("f")), 6).alias("mrr"), F.round(F.percentile("f", F.lit(0.5)), 6).alias("first_hit"))
+    """Recall over all positives, also those that the route lacks."""
+    order = Window.partitionBy("request").orderBy(F.desc("price"), "item")
+    found = impressions(spark, d).where("position % 3 <> 0").withColumn("rank", F.row_number().over(order))
+    out = evaluation.full_recall(found, labelled(spark, d), (1, 3, 100))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns if c not in ("first_hit", "n_requests")), "first_hit", "n_requests")
 
 
 FINAL = f"""{IMP}, x as (select *, case when max(price) over w = min(price) over w then 0.0 else (price - min(price) over w) / (max(price) over w - min(price) over w + 1e-6) end as deep,
@@ -108,20 +111,27 @@ def brand_preferences(spark: SparkSession, d: str) -> DataFrame:
     return serving.preference_counts(history(spark, d).join(brand, "item"), "brand", 8).withColumn("weight", F.round("weight", 6))
 
 
-TERMS = """w as (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from conversations where role = 'user'),
-t as (select term, count(*) as freq from w where len(term) > 2 group by 1)"""
+#: Latin letters as Chinese characters, so that terms are cut and corrected by the rules for these.
+LATIN, CHINESE = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26))
+TERMS = f"""w as (select unnest(regexp_extract_all(lower(text), '{TOKEN}')) as term from conversations where role = 'user'),
+t as (select term, count(*) as freq from w where len(term) > 2 group by 1),
+cw as (select unnest(regexp_extract_all(translate(lower(text), '{LATIN}', '{CHINESE}'), '{TOKEN}')) as term from conversations where role = 'user'),
+ct as (select term, count(*) as freq from cw where len(term) > 2 group by 1)"""
 
 
-def _terms(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "conversations").where("role = 'user'").select(F.explode(text.tokens(F.col("text"))).alias("term"))
+def _terms(spark: SparkSession, d: str, chinese: bool = False) -> DataFrame:
+    said = F.translate(F.lower("text"), LATIN, CHINESE) if chinese else F.col("text")
+    words = table(spark, d, "conversations").where("role = 'user'").select(F.explode(text.tokens(said)).alias("term"))
     return words.where(F.length("term") > 2).groupBy("term").agg(F.count("*").alias("freq"))
 
 
-@query(f"""with {TERMS}, p as (select u.term, k.term as known, k.freq, levenshtein(u.term, k.term) as ed from t u join t k on u.term[1:2] = k.term[1:2] and abs(len(u.term) - len(k.term)) <= 1 and u.term <> k.term where u.freq < 2 and k.freq >= 2),
-s as (select term, known, len(list_intersect(list_distinct(string_split(term, '')), list_distinct(string_split(known, '')))) / len(list_distinct(list_concat(string_split(term, ''), string_split(known, '')))) + 0.05 * ln(1 + freq) - 0.35 * ed as score from p where ed <= 1)
-select term, known, round(score, 6) as score from s where score >= 0.75 qualify row_number() over (partition by term order by round(score, 9) desc, known) = 1""")
+@query(f"""with {TERMS}, k as (select term as known, freq, term[1:1] as b, row_number() over (partition by term[1:1] order by freq desc, len(term) desc, term) as place from ct where freq >= 2),
+u as (select term from ct where freq < 2 and not regexp_full_match(term, '[a-z0-9]+')),
+p as (select u.term, known, freq, place, levenshtein(translate(u.term, '{CHINESE}', '{LATIN}'), translate(known, '{CHINESE}', '{LATIN}')) as ed from u join k on u.term[1:1] = k.b and place <= 80 and abs(len(u.term) - len(known)) <= 1),
+s as (select term, known, place, len(list_intersect(list_distinct(string_split(term, '')), list_distinct(string_split(known, '')))) / len(list_distinct(list_concat(string_split(term, ''), string_split(known, '')))) + 0.05 * ln(1 + freq) - 0.35 * ed as score from p where ed <= 1)
+select term, known, round(score, 6) as score from s where score >= 0.75 qualify row_number() over (partition by term order by round(score, 9) desc, place) = 1""")
 def term_corrections(spark: SparkSession, d: str) -> DataFrame:
-    t = _terms(spark, d)
+    t = _terms(spark, d, chinese=True)
     return serving.corrections(t.where("freq >= 2"), t.where("freq < 2")).withColumn("score", F.round("score", 6))
 
 

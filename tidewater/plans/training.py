@@ -9,6 +9,7 @@ from ..operators import cells, serving, training, vectors
 from ..operators.relational import top_k
 from ..sources import keyed
 from ..sources.roles import BEH, IMP, REQ, behaviours, impressions, requests, table
+from ..streaming.behaviour import overlaid
 from .features import LAB, labelled, query
 from .ranking import HIST, history
 from .search import UQ, counted, seeds
@@ -58,22 +59,13 @@ def cell_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {IMP}, {REQ}, {HIST}, e as (select vec_id, cast(embedding as double[]) as v from embeddings), n as (select count(*) as n from e),
-s as (select a.vec_id as src, b.vec_id as dst, list_dot_product(a.v, b.v) as score from e a, e b where a.vec_id < 100 and a.vec_id <> b.vec_id),
+s as (select a.vec_id as src, b.vec_id as dst, list_dot_product(a.v, b.v) as score from e a, e b where a.vec_id <> b.vec_id),
 nb as (select * from s qualify row_number() over (partition by src order by round(score, 9) desc, dst) <= 10),
 h as (select u, rec, i % n.n as src from his, n), z as (select h.u, nb.dst, sum(nb.score / (1 + 0.35 * rec)) + 0.035 * (count(*) - 1) as score from h join nb using (src)
   where not exists (select 1 from h k where k.u = h.u and k.src = nb.dst) group by 1, 2)
 select u as "user", dst as vec_id, round(score, 6) as score from z qualify row_number() over (partition by u order by round(score, 9) desc, dst) <= 20""")
 def item_vector_recall(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    near = vectors.exact_top_k(v.where("vec_id < 100").toDF("query_id", "q"), v, 10, vectors.dot(F.col("q"), F.col("v")))
-    n = v.agg(F.count("*").alias("n"))
-    h = history(spark, d).crossJoin(F.broadcast(n)).select("user", "recency", (F.col("item") % F.col("n")).alias("src"))
-    return serving.neighbour_recall(h, near.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "score"), 20).select("user", F.col("dst").alias("vec_id"), F.round("score", 6).alias("score"))
-
-
-@query()
-def item_vector_recall_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the neighbours of every vector that a history holds, searched in blocks. No SQL: tests lift the limits of the SQL above."""
+    """Neighbours of every vector that a history holds, searched in blocks."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     n = v.agg(F.count("*").alias("n"))
     h = history(spark, d).crossJoin(F.broadcast(n)).select("user", "recency", (F.col("item") % F.col("n")).alias("src"))
@@ -92,14 +84,17 @@ def modal_fusion(spark: SparkSession, d: str) -> DataFrame:
     return v.join(image, "vec_id", "left").select("vec_id", F.transform(fused, lambda x: F.round(x, 6) + 0.0).alias("fused"))
 
 
-@query(f"""with {UQ}, se as (select query, n, {seeds('query')} as t from cat), ty as (select distinct query[1:4] as q from cat where len(query) >= 4 order by 1), tt as (select q, {seeds('trim(q)')} as qt from ty),
-x as (select q, query, n, starts_with(query, q) as s, contains(query, q) as c, len(list_intersect(qt, t)) / greatest(1, len(qt)) as o from tt, se),
-y as (select *, case when q = query then 18 else 0 end + case when s then 9 else 0 end + case when c then 2.4 else 0 end + 5.8 * o + 0.45 * ln(1 + n) - 0.05 * abs(len(query) - len(q)) as score from x where s or c or o > 0)
-select q as typed, query, round(score, 6) as score from y qualify row_number() over (partition by q order by round(score, 9) desc, n desc, len(query), query) <= 12""")
+@query(f"""with {UQ}, se as (select query, n, {seeds('query')} as t from cat), ty as (select query[1:4] as q, case when len(min(query)) % 3 = 0 then min(query) else query[1:4] end as m from cat where len(query) >= 4 group by 1), tt as (select q, m, {seeds('trim(m)')} as qt from ty),
+x as (select q, m, query, n, starts_with(query, q) or starts_with(query, m) as s, contains(query, q) or contains(query, m) as c, len(list_intersect(qt, t)) / greatest(1, len(qt)) as o from tt, se where query <> m or q = m),
+y as (select *, case when q = query or m = query then 18 else 0 end + case when s then 9 else 0 end + case when c then 2.4 else 0 end + 5.8 * o + 0.45 * ln(1 + n) - 0.05 * abs(len(query) - len(m)) as score, case when query = m then '纠错建议' when s then '热门补全' else '相关搜索' end as hint from x where s or c or o > 0),
+z as (select q, query, score, n, hint from y union all select q, m, 20.0, coalesce(n, 0), '纠错建议' from ty left join cat on query = m where q <> m)
+select q as typed, query, round(score, 6) as score, hint from z qualify row_number() over (partition by q order by round(score, 9) desc, n desc, len(query), query) <= 12""")
 def query_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for the first four characters of each query; some are corrected to a whole query."""
     c = counted(spark, d)
-    typed = c.where(F.length("query") >= 4).select(F.substring("query", 1, 4).alias("typed")).distinct()
-    return serving.suggestions(typed, c, 12).select("typed", "query", F.round("score", 6).alias("score"))
+    typed = c.where(F.length("query") >= 4).groupBy(F.substring("query", 1, 4).alias("typed")).agg(F.min("query").alias("m"))
+    meant = typed.select("typed", F.when(F.length("m") % 3 == 0, F.col("m")).alias("corrected"))
+    return serving.suggestions(meant, c, 12).select("typed", "query", F.round("score", 6).alias("score"), "hint")
 
 
 @query(f"""with {IMP}, {REQ}, r as (select * from req qualify row_number() over (partition by user_id order by ts desc, request desc) <= 3)
@@ -133,25 +128,23 @@ def tail_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.round(F.avg("h"), 6).alias("tail_hit"), F.count("*").alias("n"))
 
 
-@query(f"""with {IMP}, t as (select request, list(item order by position) filter (position % 2 = 1) as detail, list(item order by position) as result from imp group by 1)
-select request, (case when len(detail) > 1 then detail else result end)[1:200] as truth from t""")
+@query(f"""with {IMP}, t as (select request, list(item order by position) filter (position % 4 = 3) as detail, list(item order by position) as result from imp group by 1)
+select request, (case when len(detail) > 0 then detail else result end)[1:200] as truth from t""")
 def truth_lists(spark: SparkSession, d: str) -> DataFrame:
     both = impressions(spark, d).groupBy("request").agg(
-        F.sort_array(F.collect_list(F.when(F.col("position") % 2 == 1, F.struct("position", "item")))).alias("a"), F.sort_array(F.collect_list(F.struct("position", "item"))).alias("b")
+        F.collect_list(F.when(F.col("position") % 4 == 3, F.struct("position", "item"))).alias("a"), F.collect_list(F.struct("position", "item")).alias("b")
     )
-    return both.select("request", F.slice(F.when(F.size("a") > 1, F.col("a.item")).otherwise(F.col("b.item")), 1, 200).alias("truth"))
+    return both.select("request", training.truth_list(F.col("a"), F.col("b")).alias("truth"))
 
 
-@query(f"""with {BEH}, x as (select user_id as u, scene, note, max(ts) as ts, max_by(action, event_id) as action, max_by(value, event_id) filter (action = 'view') as page_time,
-  max(case when action = 'click' then 1 else 0 end) as click, max(case when action = 'purchase' then 1 else 0 end) as collect from beh where note is not null group by 1, 2, 3)
-select u as "user", scene, note, action, round(page_time, 6) as page_time, click, collect from x""")
+@query(f"""with {BEH}, x as (select user_id as u, scene, note, request, max(ts) as ts, max(event_id) as e, max_by(action, event_id) as action, max_by(value, event_id) filter (action = 'view') as page_time,
+  max_by(event_id, event_id) filter (action = 'click') as clicked from beh where note is not null group by 1, 2, 3, 4)
+select u as "user", scene, note, request, action, round(page_time, 6) as page_time, clicked, row_number() over (partition by u order by ts desc, e desc, scene, note, request) as place from x qualify place <= 60""")
 def behaviour_overlay(spark: SparkSession, d: str) -> DataFrame:
-    rows = behaviours(spark, d).where("note is not null")
-    flag = lambda a: F.max(F.when(F.col("action") == a, 1).otherwise(0))
-    # The last value of a field that an event has, not the last event's field.
-    return rows.groupBy("user", "scene", "note").agg(
-        F.max_by("action", "event_id").alias("action"), F.round(F.max_by("value", F.when(F.col("action") == "view", F.col("event_id"))), 6).alias("page_time"), flag("click").alias("click"), flag("purchase").alias("collect")
-    )
+    """The last value of each field that an event has, not the last event's fields."""
+    rows = behaviours(spark, d).where("note is not null").withColumns({"page_time": F.when(F.col("action") == "view", F.col("value")), "clicked": F.when(F.col("action") == "click", F.col("event_id"))})
+    out = overlaid(rows, ["action", "page_time", "clicked"], ["user", "scene", "note", "request"], 60)
+    return out.select("user", "scene", "note", "request", "action", F.round("page_time", 6).alias("page_time"), "clicked", "place")
 
 
 @query(f"""with {FINAL}, {REQ}, {HIST}, r as (select fin.*, user_id as u from fin join req using (request)),
