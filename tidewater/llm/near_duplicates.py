@@ -178,6 +178,20 @@ def _joined(pairs: DataFrame, values: DataFrame, hot: DataFrame | None) -> DataF
     return dealt.join(copies.toDF("a", "x", "share"), ["a", "share"])
 
 
+def _sided(pairs: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """pairs with the id of more shares as a."""
+    if hot is None:
+        return pairs
+    both = pairs.join(F.broadcast(hot.toDF("a", "_a")), "a", "left").join(F.broadcast(hot.toDF("b", "_b")), "b", "left")
+    swap = F.coalesce("_b", F.lit(0)) > F.coalesce("_a", F.lit(0))
+    return both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """id and n, the pairs that name it."""
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n"))
+
+
 def _near(pairs: DataFrame, hot: DataFrame | None, reps: DataFrame, agree: int) -> DataFrame:
     """The pairs (a, b) whose sketches agree in enough positions."""
 
@@ -260,16 +274,10 @@ def _lowest(found: np.ndarray) -> bytes:
 
 def confirm(near: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """near: pairs (a, b), a written table. Those whose full sets are similar enough."""
-    ends = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
-    counts = written(ends.groupBy("id").agg(F.count("*").alias("n")), "ids")
+    counts = written(_ends(near), "ids")
     full = written(_of_sets(docs, reps, counts.select("id"), width, lambda x: x.astype(np.int64), "array<long>"), "sets")
     hot = _hot(counts)
-    if hot is not None:  # of two hot sets, the one of more pairs is joined in shares
-        of = lambda c: near_hot.withColumnRenamed("id", c).withColumnRenamed("shares", f"_{c}")
-        near_hot = F.broadcast(hot)
-        sided = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        swap = F.coalesce("_b", F.lit(0)) > F.coalesce("_a", F.lit(0))
-        near = sided.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    near = _sided(near, hot)
     shared = F.size(F.array_intersect("x", "y"))
     both = _joined(near, full, hot).where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
     out = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "confirmed")
@@ -371,17 +379,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     drawn, reps, several = _drawn(docs, width)
-    links = linked(docs, reps, width, percent, trees)
-    labels, keyed = links.labels, drawn.select("doc_id", "n_shingles", "set_key")
-    if not several.isEmpty():  # the sets of one id are linked, and its empty texts go where its others are
-        number = reps.select("set_key", "rep")
-        both = drawn.join(several.where("low <> high"), "doc_id").where("set_key <> low").select("low", "set_key").distinct()
-        own = both.join(number.toDF("low", "a"), "low").join(number.toDF("set_key", "b"), "set_key").select("a", "b")
-        labels = written(components(links.found.unionByName(own)), "labels")
+    found = linked(docs, reps, width, percent, trees).found
+    pairs = _joined(_sided(found, hot := _hot(_ends(found))), reps.select(F.col("rep").alias("id"), "doc"), hot).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    keyed = drawn.select("doc_id", "n_shingles", "set_key")
+    if not several.isEmpty():  # an id is linked with the documents its texts stand for, and its empty texts go where its others are
+        other = drawn.join(several.where("low <> high").select("doc_id"), "doc_id", "left_semi").join(reps.select("set_key", "doc"), "set_key")
+        pairs = pairs.unionByName(other.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).distinct())
         keyed = keyed.join(several.select("doc_id", "low"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("set_key", "low").alias("set_key"))
-    members = reps.select("set_key", "rep", "doc").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    smallest = members.where("component is not null").groupBy("component").agg(F.min("doc").alias("smallest"))
-    found = members.join(smallest, "component", "left").select("set_key", F.coalesce("smallest", "doc").alias("found"))
+    labels = written(components(pairs), "labels").withColumnRenamed("id", "doc")
+    found = reps.select("set_key", "doc").join(labels, "doc", "left").select("set_key", F.coalesce("component", "doc").alias("found"))
     out = keyed.join(found, "set_key", "left")
     return out.select(
         "doc_id", "n_shingles",
