@@ -397,6 +397,17 @@ def test_boosting_and_classifier(docs, labels, empty, spark):
     assert all(r.score == 0.5 for r in quality_classifier.classify(docs, named.where("false")).collect())
 
 
+def test_training_rows_are_those_of_the_smallest_hashes(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("double")).alias("stats"))
+    marks = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+    taken = {}
+    monkeypatch.setattr(quality_classifier, "fit", lambda x, y: taken.update(x=sorted(x[:, 0].astype(int).tolist())))
+    for most in (100, 5000):
+        quality_classifier.train(rows, marks, most)
+        fine = marks.where(~quality_classifier.held_out()).orderBy(F.xxhash64("doc_id")).limit(most)
+        assert taken["x"] == sorted(r.doc_id for r in fine.collect())
+
+
 def test_packing(docs, empty):
     enc, expected = tokens.encoder(*tokens.public_vocabulary()), Counter()
     for i, t, *_ in corpus():

@@ -412,3 +412,20 @@ def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The exact join for DuckDB: all pairs that share a shingle, and what they reach.
+NEAR_DUPLICATES_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) end) as s from w),
+n as (select doc_id, len(s) as n from s),
+e as (select doc_id, unnest(s) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r as (select doc_id as a, doc_id as b from n union select r.a, l.b from r join l on l.a = r.b),
+m as (select a, min(b) as component_id from r group by 1)
+select doc_id, cast(n as bigint) as n_shingles, component_id, doc_id = component_id as kept from n join m on a = doc_id
+"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .near_duplicates import op4_near_duplicates
-from .nearest import op7_nearest
+from .near_duplicates import NEAR_DUPLICATES_SQL, op4_near_duplicates
+from .nearest import NEAREST_SQL, op7_nearest
 from .packing import op10_best_fit_packing
 from .passages import op8_passages
 from .quality_classifier import op9_quality_classifier
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL = {"op2_source_mix": SOURCE_MIX_SQL}
+ORACLE_SQL = {"op2_source_mix": SOURCE_MIX_SQL, "op4_near_duplicates": NEAR_DUPLICATES_SQL, "op7_nearest": NEAREST_SQL}
