@@ -6,9 +6,10 @@ vector with its code. Bits and scalars estimate the inner product with a query w
 that exceeds EPSILON standard errors rarely; vectors whose upper bound reaches the k-th lower bound
 are reranked by the original vectors in double precision.
 
-Queries and vectors are dealt to blocks of bounded size by their hashes, and each pair of blocks is one
-group of a cogroup: no cross join, no broadcast, nothing collected, and memory bounded by two blocks. Each
-pair of blocks gives k rows for each query, which a window per query merges.
+Queries and the codes of vectors are dealt to blocks of bounded size by their hashes, and each pair of blocks is one
+group of a cogroup: no cross join, no broadcast, nothing collected, and memory bounded by two blocks. A pair
+of blocks gives, for each query, the vectors that its own k-th lower bound does not rule out; a window per query
+rules out more by the k-th lower bound of all blocks. Only for what is left are the original vectors fetched, by joins.
 
 Defined cases: vectors that are null, zero or of another dimension than most, or that hold null or
 non-finite components, take no part, neither do rows without an id; rows that share an id count once (the
@@ -103,7 +104,6 @@ def nearest(vectors: DataFrame, every: int = QUERIES_EVERY, k: int = K, epsilon:
     """query_id, rank, vec_id and score of the k nearest of each row whose id is divisible by every."""
     fine = written(usable(vectors), "vectors")
     sizes = fine.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    schema = "query_id long, vec_id long, score double"
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = sizes
@@ -113,34 +113,43 @@ def nearest(vectors: DataFrame, every: int = QUERIES_EVERY, k: int = K, epsilon:
     n_queries = fine.where(asking).count()
     across, down = max(1, -(-n // vector_block)), max(1, -(-n_queries // query_block))
     coded = written(encode(fine, dim, centre, seed), "codes")
-    left = coded.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(across)).alias("v")).withColumn("q", _copies(down))
-    right = (
-        coded.where(asking).select(F.col("vec_id").alias("query_id"), "vector", F.pmod(F.xxhash64("vec_id"), F.lit(down)).alias("q"))
-        .withColumn("v", _copies(across))
-    )
-
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        if not len(rows) or not len(asked):
-            return empty
-        unpack = lambda c, kind: np.frombuffer(b"".join(c), kind).reshape(len(c), -1)
-        v, q, ids = unpack(rows["vector"], "<f8"), unpack(asked["vector"], "<f8"), rows["vec_id"].to_numpy()
-        codes, turn, c = unpack(rows["code"], "u1"), rotation(dim, seed), np.array(centre)
-        out = []
-        for at in range(0, len(q), 256):
-            estimated, error = estimate(codes, rows, q[at : at + 256], c, turn, epsilon)
-            for i, own in enumerate(asked["query_id"].to_numpy()[at : at + 256]):
-                low = np.where(ids == own, -np.inf, estimated[i] - error[i])
-                level = -np.inf if len(low) <= k else np.partition(low, -k)[-k]
-                chosen = np.flatnonzero((estimated[i] + error[i] >= level) & (ids != own))
-                score = np.cumsum(v[chosen] * q[at + i], axis=1)[:, -1]  # added in order, as any plain loop does
-                best = np.lexsort((ids[chosen], -score))[:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[chosen][best], "score": score[best]}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    found = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(search, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = coded.where(asking).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    parts = coded.select("vec_id", "code", "length", "fit", "on_centre", F.pmod(F.xxhash64("vec_id"), F.lit(across)).alias("v"))
+    left = parts.withColumn("q", _copies(down))
+    right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(down))).withColumn("v", _copies(across))
+    unpack = lambda c, kind: np.frombuffer(b"".join(c), kind).reshape(len(c), -1)
+
+    def search(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "low": [], "high": []}).astype({"query_id": "int64", "vec_id": "int64"})]
+        if len(rows) and len(block):
+            codes, ids, own = unpack(rows["code"], "u1"), rows["vec_id"].to_numpy(), block["query_id"].to_numpy()
+            q, turn, c = unpack(block["query"], "<f8"), rotation(dim, seed), np.array(centre)
+            for at in range(0, len(q), 256):
+                estimated, error = estimate(codes, rows, q[at : at + 256], c, turn, epsilon)
+                for i, me in enumerate(own[at : at + 256]):
+                    low = np.where(ids == me, -np.inf, estimated[i] - error[i])
+                    level = -np.inf if len(low) <= k else np.partition(low, -k)[-k]
+                    chosen = np.flatnonzero((estimated[i] + error[i] >= level) & (ids != me))
+                    out.append(pd.DataFrame({"query_id": me, "vec_id": ids[chosen], "low": low[chosen], "high": estimated[i][chosen] + error[i][chosen]}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    found = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(search, "query_id long, vec_id long, low double, high double")
+    each = Window.partitionBy("query_id")
+    placed = found.withColumn("place", F.row_number().over(each.orderBy(F.desc("low"), "vec_id")))
+    level = F.max(F.when(F.col("place") == k, F.col("low"))).over(each)
+    chosen = placed.withColumn("level", level).where(F.col("level").isNull() | (F.col("high") >= F.col("level"))).select("query_id", "vec_id")
+    both = chosen.join(coded.select("vec_id", "vector"), "vec_id").join(asked, "query_id")
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                products = unpack(batch["vector"], "<f8") * unpack(batch["query"], "<f8")
+                # added in order, as any plain loop does
+                yield pd.DataFrame({"query_id": batch["query_id"], "vec_id": batch["vec_id"], "score": np.cumsum(products, axis=1)[:, -1]})
+
+    scored = both.select("query_id", "vec_id", "vector", "query").mapInPandas(measure, "query_id long, vec_id long, score double")
+    order = each.orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
