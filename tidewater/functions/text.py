@@ -86,8 +86,9 @@ def intents(query: Column, patterns: dict[str, tuple[str, ...]] = INTENTS, most:
 
 def bigrams(text: Column) -> Column:
     """All pairs of neighbouring characters; a text of at most two characters is one; none of an empty text."""
-    n = F.length(text)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))
+    n, letters = F.length(text), F.split(text, "")
+    rest = F.greatest(n - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(letters, F.lit(1), rest), F.slice(letters, F.lit(2), rest), lambda a, b: F.concat(a, b))  # linear in the text's length
     return F.when(n == 0, F.array().cast("array<string>")).when(n <= 2, F.array(text)).otherwise(F.array_distinct(pairs))
 
 

@@ -93,6 +93,18 @@ def hot_items(items: DataFrame, k: int) -> DataFrame:
     return items.select("item", score.alias("score")).orderBy(F.desc(F.round("score", 9)), "item").limit(k)
 
 
+# The least, most and usual number of items in the pool.
+POOL_LIMITS = (200, 20_000, 4000)
+
+
+def hot_pool(items: DataFrame, limit: int = POOL_LIMITS[2]) -> DataFrame:
+    """items: item, like, collect, comment. item, score and place of the first limit, within the pool's bounds; ties go to the larger id."""
+    score = 1.0 * F.coalesce("like", F.lit(0)) + 1.5 * F.coalesce("collect", F.lit(0)) + 2.0 * F.coalesce("comment", F.lit(0))
+    n = min(max(limit, POOL_LIMITS[0]), POOL_LIMITS[1])
+    first = items.select("item", score.alias("score")).orderBy(F.desc("score"), F.desc("item")).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("item"))))
+
+
 def blended(a: DataFrame, b: DataFrame, wa: float, wb: float, bonus: float, k: int) -> DataFrame:
     """Weighted union of two routes (request, item, score), with a bonus where both have an item."""
     both = a.select("request", "item", (F.col("score") * wa).alias("s")).unionByName(b.select("request", "item", (F.col("score") * wb).alias("s")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import ndcg
+from .metrics import auc, ndcg
 from .relational import min_max, top_k
 
 
@@ -73,6 +73,17 @@ def blend_weights(rows: DataFrame, group: str, a: str, b: str, label: str, steps
     return each.groupBy(F.col("_g.step").alias("step")).agg(F.avg("ndcg").alias("ndcg")).withColumn("weight", F.col("step") / (steps - 1))
 
 
+def best_weight(rows: DataFrame, group: str, a: str, b: str, label: str, steps: int = 21, k: int = 10) -> DataFrame:
+    """One row: the weight of the highest mean NDCG (to nine digits), then of the highest AUC, then the smallest, with both."""
+    tried = blend_weights(rows, group, a, b, label, steps, k)
+    top = tried.agg(F.max(F.round("ndcg", 9)).alias("_top"))
+    best = tried.crossJoin(F.broadcast(top)).where(F.round("ndcg", 9) == F.col("_top")).select("step", "weight", "ndcg")
+    scaled = rows.withColumns({"_a": min_max(group, a, 0.0, 1e-6), "_b": min_max(group, b, 0.0, 1e-6)})
+    scored = scaled.crossJoin(F.broadcast(best.select("step", "weight"))).withColumn("_s", F.round((1 - F.col("weight")) * F.col("_a") + F.col("weight") * F.col("_b"), 9))
+    areas = auc(scored, "_s", label, "step").select("step", "auc")
+    return best.join(areas, "step").orderBy(F.desc(F.round("auc", 9)), "step").limit(1).select("weight", "ndcg", "auc")
+
+
 def drawn(draws: DataFrame, items: DataFrame, slots: int = 4096) -> DataFrame:
     """draws: any columns and x in [0, 1). items: item, w. Each draw gets the item in whose stretch of the summed weights x lies, in order of item.
 

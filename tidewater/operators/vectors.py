@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .relational import top_k
 
 
@@ -57,6 +58,16 @@ def blocked_top_k(queries: DataFrame, vectors: DataFrame, k: int, vector_block:
     return top_k(found, "query_id", [F.desc(F.round("score", 9)), F.col("vec_id")], k)
 
 
+def hashed_texts(rows: DataFrame, key: str, column: str, dim: int = 64) -> DataFrame:
+    """key, at and value: what is not zero of a vector of each text, made without a model: how many of its character pairs fall into each of dim buckets by their
+    md5, at unit length. Texts without characters have no rows."""
+    grams = rows.select(key, F.explode(text.bigrams(F.col(column))).alias("_g"))
+    at = F.conv(F.substring(F.md5(F.col("_g").cast("binary")), 1, 6), 16, 10).cast("long") % dim
+    counts = grams.groupBy(key, at.alias("at")).agg(F.count("*").alias("_n"))
+    length = F.sqrt(F.sum(F.col("_n") * F.col("_n")).over(Window.partitionBy(key)).cast("double"))
+    return counts.select(key, "at", (F.col("_n") / length).alias("value"))
+
+
 def mean_vector(rows: DataFrame, group: str, vector: str, weight: Column | None = None) -> DataFrame:
     """Weighted means by position, as long rows: group, at, value. Weights below 0 count 0; where all of a group's are 0, all count alike."""
     if weight is not None:

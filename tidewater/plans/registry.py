@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import behaviours, chain, evaluations, features, inputs, linkage, merging, offline, pages, ranking, search, serving, training  # noqa: F401  (importing them registers their queries)
+from . import behaviours, chain, composed, evaluations, features, inputs, linkage, merging, offline, pages, ranking, search, serving, training  # noqa: F401  (importing them registers their queries)
 
 FLAGSHIP = "features_wide"
 QUERIES = features.QUERIES

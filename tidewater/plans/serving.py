@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evaluation, metrics, recall, serving, vectors
-from ..operators.relational import min_max, top_k
+from ..operators.relational import latest, min_max, top_k
 from ..sources.roles import BEH, IMP, REQ, behaviours, impressions, requests, table
 from ..streaming.behaviour import front_list
 from .features import LAB, TOKEN, labelled, query
-from .ranking import HIST, ROUTES, history, routes
+from .ranking import BEFORE, HIST, ROUTES, clicks_before, history, routes
 
 
 @query(f"""with {ROUTES}, n as (select *, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as norm
@@ -98,10 +98,13 @@ def user_request_lists(spark: SparkSession, d: str) -> DataFrame:
     return g.select("user", F.col("s.request").alias("requests"))
 
 
-@query(f"""with {IMP}, {REQ}, {HIST} select u as "user", list(i order by rec desc) as items from his group by 1""")
+@query(f"""with {IMP}, {REQ}, {BEFORE.replace('had - 20', 'had - 60')}, l as (select u, request, list(item order by rec desc)[1:50] as items from bef group by 1, 2)
+select l.u as "user", items from l join req using (request) qualify row_number() over (partition by l.u order by ts desc, request desc) = 1""")
 def history_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    g = history(spark, d).groupBy("user").agg(F.sort_array(F.collect_list(F.struct("recency", "item")), asc=False).alias("s"))
-    return g.select("user", F.col("s.item").alias("items"))
+    """The history of each user's latest request that has one, the first fifty of sixty."""
+    before = clicks_before(spark, d, 60).groupBy("user", "request").agg(F.sort_array(F.collect_list(F.struct("recency", "item")), asc=False).alias("s"))
+    last = latest(before.join(requests(spark, d).select("request", "ts"), "request"), "user", [F.desc("ts"), F.desc("request")])
+    return last.select("user", F.slice(F.col("s.item"), 1, 50).alias("items"))
 
 
 @query(f"""with {IMP}, {REQ}, {HIST}, w as (select u, p_brand as brand, sum(1 / (1 + rec)) as w from his join part on p_partkey = i group by 1, 2)
@@ -164,9 +167,9 @@ def stage_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {IMP}, i as (select item, 1 * sum("like") + 1.5 * sum(collect) + 2 * sum(comment) as s from imp group by 1), r as (select item, s, row_number() over (order by s desc, item desc) as r from i)
 select item, round(s, 6) as score, r as place from r where r > 40 and r <= 60""")
 def hot_pool_page(spark: SparkSession, d: str) -> DataFrame:
-    g = impressions(spark, d).groupBy("item").agg((1.0 * F.sum("like") + 1.5 * F.sum("collect") + 2.0 * F.sum("comment")).alias("s"))
-    first = g.orderBy(F.desc("s"), F.desc("item")).limit(60)
-    return first.select("item", F.round("s", 6).alias("score"), F.row_number().over(Window.orderBy(F.desc("s"), F.desc("item"))).alias("place")).where("place > 40")
+    """A page of the pool of popular items."""
+    items = impressions(spark, d).groupBy("item").agg(*(F.sum(c).alias(c) for c in ("like", "collect", "comment")))
+    return recall.hot_pool(items, 60).where("place > 40 and place <= 60").withColumn("score", F.round("score", 6))
 
 
 @query(f"""with {BEH}, l as (select user_id as u, scene, note, max(ts) as ts, max(event_id) as e from beh where note is not null and action = 'view' group by 1, 2, 3),
