@@ -128,6 +128,7 @@ def match_score(query: Column, title: Column, content: Column) -> Column:
     def share(text: Column) -> Column:
         return F.size(F.array_intersect(pairs, bigrams(text))) / F.greatest(F.size(pairs), F.lit(1))
 
+    # Weights and thresholds.
     whole = F.when(F.contains(title, query), 3.0).otherwise(0.0) + F.when(F.contains(content, query), 1.0).otherwise(0.0)
     return F.when(query == "", F.lit(0.0)).otherwise(whole + 2.0 * share(title) + 0.5 * share(F.substring(content, 1, 500)))
 
@@ -185,6 +186,7 @@ def search_score(query: Column, title: Column, content: Column, terms: Column |
         for phrase in phrases:
             there = there | F.contains(title, F.lit(phrase)) | F.contains(content, F.lit(phrase))
         matched = matched + F.when(F.array_contains(wanted, name) & there, 1).otherwise(0)
+    # Weights and thresholds.
     whole = F.when(F.contains(title, query), 3.2).otherwise(0.0) + F.when(F.contains(content, query), 1.0).otherwise(0.0)
     found = whole + 1.4 * share(title) + 0.35 * share(F.substring(content, 1, 500)) + 1.7 * held(title) + 0.55 * held(content) + 0.30 * matched
     return F.when(query == "", F.lit(0.0)).otherwise(found)
@@ -196,6 +198,7 @@ def lexical_features(query: Column, title: Column, content: Column, terms: Colum
     def hits(text: Column) -> Column:
         return F.size(F.filter(terms, lambda t: F.contains(text, t)))
 
+    # Weights and thresholds.
     evidence: Column = F.lit(0.0)
     for name, phrases in INTENTS.items():
         found: Column = F.lit(0.0)

@@ -51,6 +51,7 @@ def sequence_transitions(steps: DataFrame, k: int = 200) -> DataFrame:
     """steps: src, recency (0 is the newest of a request's history), dst (an item of the request) and y, its label. Positive items alone count; each adds
     to every item of the history before it, more for higher labels and for newer items."""
     rows = steps.where("y > 0 and src >= 0 and dst >= 0 and src <> dst")
+    # Weights and thresholds.
     gain = 1 + F.least(F.lit(2.5), 0.22 * F.col("y"))
     recent = F.when(F.col("recency") < 3, 1.18).otherwise(1.0) / (1 + 0.32 * F.col("recency"))
     return top_k(rows.groupBy("src", "dst").agg(F.sum(gain * recent).alias("score")), "src", [F.desc(F.round("score", 9)), F.col("dst")], k)
@@ -89,6 +90,7 @@ def i2i_recall(history: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
 
 def hot_items(items: DataFrame, k: int) -> DataFrame:
+    # Weights and thresholds.
     score = 1.0 * F.col("like") + 1.2 * F.col("collect") + 0.8 * F.col("comment") + 0.2 * F.col("imp")
     return items.select("item", score.alias("score")).orderBy(F.desc(F.round("score", 9)), "item").limit(k)
 
@@ -99,6 +101,7 @@ POOL_LIMITS = (200, 20_000, 4000)
 
 def hot_pool(items: DataFrame, limit: int = POOL_LIMITS[2]) -> DataFrame:
     """items: item, like, collect, comment. item, score and place of the first limit, within the pool's bounds; ties go to the larger id."""
+    # Weights and thresholds.
     score = 1.0 * F.coalesce("like", F.lit(0)) + 1.5 * F.coalesce("collect", F.lit(0)) + 2.0 * F.coalesce("comment", F.lit(0))
     n = min(max(limit, POOL_LIMITS[0]), POOL_LIMITS[1])
     first = items.select("item", score.alias("score")).orderBy(F.desc("score"), F.desc("item")).limit(n)

@@ -16,6 +16,7 @@ def route_weights(normed: DataFrame, priors: dict[str, float]) -> DataFrame:
         F.max("norm").alias("top"), F.count("*").alias("n"), F.avg("norm").alias("mean"),
         F.percentile("norm", F.lit(0.9)).alias("p90"), F.avg(F.when(F.col("_r") <= 50, F.col("norm"))).alias("mean50"),
     )
+    # Weights and thresholds.
     quality = (
         0.40 * F.col("top") + 0.25 * F.when(F.col("n") >= 5, F.col("p90")).otherwise(F.col("top")) + 0.20 * F.col("mean50")
         + 0.10 * F.least(F.lit(1.0), F.col("n") / 200) + 0.05 * F.greatest(F.lit(0.0), F.col("top") - F.col("mean"))
@@ -40,6 +41,7 @@ def relevance_grades(rows: DataFrame, label: str) -> DataFrame:
 def search_final(rows: DataFrame) -> Column:
     """The final score of search: preranking, the adjusted deep score and lexical evidence."""
     c = F.col
+    # Weights and thresholds.
     adjusted = (
         c("deep") + 0.18 * c("lexical") + 1.05 * c("exact") + 1.25 * c("cover") + 0.90 * c("strong")
         + 0.16 * (c("deep") - c("pre")) - 2.0 * c("hard") - 0.65 * c("weak")
@@ -99,6 +101,7 @@ def corrections(terms: DataFrame, unknown: DataFrame, least: float = 0.75, pool:
     edits = pairs.withColumn("edits", F.levenshtein("term", "known", 1)).where("edits >= 0")
     letters = lambda c: F.array_distinct(F.split(c, ""))
     a, b = letters(F.col("term")), letters(F.col("known"))
+    # Weights and thresholds.
     score = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) + 0.05 * F.log1p("freq") - 0.35 * F.col("edits")
     scored = edits.withColumn("score", score).where(F.col("score") >= least)
     return top_k(scored, "term", [F.desc(F.round("score", 9)), F.col("place")], 1).select("term", "known", "score")
@@ -124,6 +127,7 @@ def pairwise_loss(rows: DataFrame, group: str, score: str, label: str) -> DataFr
 def neighbour_recall(history: DataFrame, near: DataFrame, k: int) -> DataFrame:
     """history: user, src, recency. near: src, dst, score. Neighbours of what a user saw, less for older ones, more for those met often; not what was seen."""
     met = history.join(near, "src").join(history.select("user", F.col("src").alias("dst")).distinct(), ["user", "dst"], "left_anti")
+    # Weights and thresholds.
     decayed = F.sum(F.col("score") / (1 + 0.35 * F.col("recency"))) + 0.035 * (F.count("*") - 1)
     return top_k(met.groupBy("user", "dst").agg(decayed.alias("score")), "user", [F.desc(F.round("score", 9)), F.col("dst")], k)
 
@@ -137,7 +141,7 @@ def suggestions(typed: DataFrame, counted: DataFrame, k: int) -> DataFrame:
     """typed: typed, distinct, normalised, and corrected, null where it stays. counted: query, n. The best queries that start with what was typed or its correction,
     hold it or share a term with it, with a hint each; a correction comes first.
 
-    A query can only hold what was typed where it has its first two characters, and shares a term only where it has the
+    A query can only hold what was typed where it has its first four characters (all, of shorter ones), and shares a term only where it has the
     term: both are keys to join on, so no typed text meets the whole catalogue.
     """
     t, q, c = F.col("typed"), F.col("query"), F.col("meant")
@@ -148,14 +152,15 @@ def suggestions(typed: DataFrame, counted: DataFrame, k: int) -> DataFrame:
     corrected = F.col("corrected") if "corrected" in typed.columns else F.lit(None).cast("string")
     asked = typed.where(t != "").select("typed", F.coalesce(corrected, t).alias("meant"))
     both = lambda f: F.array_distinct(F.concat(f(t), f(c)))
-    left = asked.select("typed", "meant", F.explode(both(lambda x: keys(F.trim(x), F.array(F.substring(x, 1, 2))))).alias("key"))
-    singles = F.split(q, "")  # what was typed may be one character
-    right = counted.select("query", "n", F.explode(keys(q, F.concat(text.bigrams(q), singles))).alias("key"))
+    left = asked.select("typed", "meant", F.explode(both(lambda x: keys(F.trim(x), F.array(F.substring(x, 1, 4))))).alias("key"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length(q)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length(q) - i + 1)), lambda n: q.substr(i, n))))
+    right = counted.where(q != "").select("query", "n", F.explode(keys(q, grams)).alias("key"))
     pairs = left.join(right, "key").select("typed", "meant", "query", "n").distinct()
     mine = text.seed_terms(F.trim(c))
     overlap = F.size(F.array_intersect(mine, text.seed_terms(q))) / F.greatest(F.size(mine), F.lit(1))
     starts, holds = F.startswith(q, t) | F.startswith(q, c), F.contains(q, t) | F.contains(q, c)
     scored = pairs.withColumns({"_s": starts, "_c": holds, "_o": overlap}).where("_s or _c or _o > 0")
+    # Weights and thresholds.
     score = (
         F.when((q == t) | (q == c), 18.0).otherwise(0.0) + F.when(F.col("_s"), 9.0).otherwise(0.0) + F.when(F.col("_c"), 2.4).otherwise(0.0)
         + 5.8 * F.col("_o") + 0.45 * F.log1p("n") - 0.05 * F.abs(F.length(q) - F.length(c))
@@ -172,6 +177,7 @@ def lexical_gate(rows: DataFrame, enough: int) -> DataFrame:
     """rows: request, item, base, exact, cover, lexical, intent. Adjusted scores; only strong matches where a request has enough, else weaker ones with
     some evidence too."""
     c = F.col
+    # Weights and thresholds.
     marked = rows.withColumns({
         "_strong": (c("exact") == 1) | (c("cover") >= 0.45) | (c("lexical") >= 1.25),
         "_weak": (c("exact") == 0) & (c("cover") < 0.34),
@@ -197,6 +203,7 @@ def feed(ranked: DataFrame, seen: DataFrame, items: DataFrame, page: int, size:
 
 def linkage_boosts(rows: DataFrame, keywords: Column, tags: Column, search: bool) -> Column:
     """What a candidate (title, content, tag_1.. columns) gains by the keywords (four at most) and tags of the user's other scene."""
+    # Weights and thresholds.
     in_title, in_content, by_tag = (0.05, 0.02, 0.10) if search else (0.14, 0.06, 0.06)
     words = F.filter(F.transform(F.slice(keywords, 1, 4), lambda k: F.lower(F.trim(k))), lambda k: k != "")
 

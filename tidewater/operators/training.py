@@ -84,12 +84,13 @@ def best_weight(rows: DataFrame, group: str, a: str, b: str, label: str, steps:
     return best.join(areas, "step").orderBy(F.desc(F.round("auc", 9)), "step").limit(1).select("weight", "ndcg", "auc")
 
 
-def drawn(draws: DataFrame, items: DataFrame, slots: int = 4096) -> DataFrame:
+def drawn(draws: DataFrame, items: DataFrame, slots: int | None = None) -> DataFrame:
     """draws: any columns and x in [0, 1). items: item, w. Each draw gets the item in whose stretch of the summed weights x lies, in order of item.
 
     Sums run over ranges of items first and then within them, so no task sums all items; a draw and an item meet in the
-    slots of x that the item's stretch crosses, so the join is by equality.
+    slots of x that the item's stretch crosses, so the join is by equality. There are as many slots as items, unless told, so a draw meets few.
     """
+    slots = slots or max(4096, items.count())
     ranged = items.withColumn("_p", F.pmod(F.floor(F.col("item") / 1024), F.lit(1 << 40)))
     parts = ranged.groupBy("_p").agg(F.sum("w").alias("_w"))
     before = F.sum("_w").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")
