@@ -379,8 +379,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     drawn, reps, several = _drawn(docs, width)
-    found = linked(docs, reps, width, percent, trees).found
-    pairs = _joined(_sided(found, hot := _hot(_ends(found))), reps.select(F.col("rep").alias("id"), "doc"), hot).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = linked(docs, reps, width, percent, trees).labels.where("id <> component")
+    # one pair for each set and its component, by their documents; a large component is joined in shares
+    hot = _hot(labels.groupBy(F.col("component").alias("id")).agg(F.count("*").alias("n")))
+    pairs = _joined(labels.toDF("b", "a"), reps.select(F.col("rep").alias("id"), "doc"), hot).select(F.col("x").alias("a"), F.col("y").alias("b"))
     keyed = drawn.select("doc_id", "n_shingles", "set_key")
     if not several.isEmpty():  # an id is linked with the documents its texts stand for, and its empty texts go where its others are
         other = drawn.join(several.where("low <> high").select("doc_id"), "doc_id", "left_semi").join(reps.select("set_key", "doc"), "set_key")
