@@ -126,16 +126,21 @@ def nearest(vectors: DataFrame, every: int = QUERIES_EVERY, k: int = K, epsilon:
         unpack = lambda c, kind: np.frombuffer(b"".join(c), kind).reshape(len(c), -1)
         v, q, ids = unpack(rows["vector"], "<f8"), unpack(asked["vector"], "<f8"), rows["vec_id"].to_numpy()
         codes, turn, c = unpack(rows["code"], "u1"), rotation(dim, seed), np.array(centre)
-        out = []
+        longest, out = np.sqrt((v**2).sum(axis=1).max()), []
         for at in range(0, len(q), 256):
             estimated, error = estimate(codes, rows, q[at : at + 256], c, turn, epsilon)
+            products = q[at : at + 256] @ v.T
+            slack = 1e-10 * np.sqrt((q[at : at + 256] ** 2).sum(axis=1)) * longest
             for i, own in enumerate(asked["query_id"].to_numpy()[at : at + 256]):
                 low = np.where(ids == own, -np.inf, estimated[i] - error[i])
                 level = -np.inf if len(low) <= k else np.partition(low, -k)[-k]
-                chosen = np.flatnonzero((estimated[i] + error[i] >= level) & (ids != own))
-                score = np.cumsum(v[chosen] * q[at + i], axis=1)[:, -1]  # added in order, as any plain loop does
-                best = np.lexsort((ids[chosen], -score))[:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[chosen][best], "score": score[best]}))
+                chosen = np.where((estimated[i] + error[i] >= level) & (ids != own), products[i], -np.inf)
+                # of the chosen, those near the k-th product or above it, whose products are then added in order, as any plain loop does
+                last = np.partition(chosen, -k)[-k] - slack[i] if len(chosen) > k else -np.inf
+                near = np.flatnonzero((chosen >= last) & (chosen > -np.inf))
+                score = np.cumsum(v[near] * q[at + i], axis=1)[:, -1]
+                best = np.lexsort((ids[near], -score))[:k]
+                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][best], "score": score[best]}))
         return pd.concat(out, ignore_index=True) if out else empty
 
     found = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(search, schema)
