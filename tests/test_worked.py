@@ -233,6 +233,17 @@ def test_deletion_takes_the_newest_match(spark):
     assert kept.count() == 5 and gone.count() == 0
 
 
+def test_deletion_does_not_depend_on_the_order_of_what_is_asked(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(u, "rec", 5, 0, 2 * u + j, start + dt.timedelta(seconds=j)) for u in range(200) for j in range(1 + u % 2)]
+    df = spark.createDataFrame(rows, "user long, scene string, note long, request long, event_id long, ts timestamp")
+    turned = lambda batches: (b.sample(frac=1) for b in batches)  # noqa: E731 (another order at each reading)
+    asked = df.select("user", "scene", "note").distinct().withColumns({"ts": F.lit(None).cast("timestamp"), "request": F.lit(None).cast("long")})
+    kept, gone = behaviour.deleted(df, asked.coalesce(1).mapInPandas(turned, asked.schema))
+    assert sorted(r.event_id for r in kept.collect()) == [2 * u for u in range(1, 200, 2)]
+    assert sorted(r.user for r in gone.collect()) == list(range(0, 200, 2))
+
+
 def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
     schema = "user long, scene string, action string, ts timestamp"
     start = dt.datetime(2024, 1, 1)

@@ -56,11 +56,11 @@ def keeps_history(action: str = "action") -> Column:
 
 def deleted(events: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """asked: user, scene, note, and ts and request, which may be null for any. The events without the newest match of each, and the pairs (user, scene, note)
-    of which no event that fits is left: they leave the history."""
+    of which no event that fits is left: they leave the history. What is asked is told apart by its own columns, which every reading of it gives alike; numbers of rows would not be."""
     fits = lambda c: F.col(f"a.{c}").isNull() | (F.col(f"a.{c}") == F.col(f"e.{c}"))
     same = F.expr("a.user = e.user and a.scene = e.scene and a.note = e.note")
-    numbered = asked.withColumn("_ask", F.monotonically_increasing_id())
-    met = events.alias("e").join(numbered.alias("a"), same & fits("request")).select("a._ask", F.col("e.user").alias("user"), "e.scene", "e.note", "e.event_id", "e.ts", fits("ts").alias("_exact"))
+    named = asked.withColumn("_ask", F.struct("user", "scene", "note", "ts", "request"))
+    met = events.alias("e").join(named.alias("a"), same & fits("request")).select("a._ask", F.col("e.user").alias("user"), "e.scene", "e.note", "e.event_id", "e.ts", fits("ts").alias("_exact"))
     gone = top_k(met.where("_exact"), "_ask", [F.desc("ts"), F.desc("event_id")], 1, "_r").select("event_id", "_ask")
     rest = met.join(gone.select("event_id").distinct(), "event_id", "left_anti").select("_ask").distinct()
     out = met.join(gone.select("_ask"), "_ask", "left_semi").join(rest, "_ask", "left_anti").select("user", "scene", "note").distinct()
