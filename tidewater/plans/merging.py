@@ -13,7 +13,7 @@ from ..operators.relational import top_k, without
 from ..sources.roles import BEH, IMP, REQ, behaviours, impressions, requests, table
 from .features import query
 from ..streaming.behaviour import deleted
-from .ranking import HIST, ROUTES, history, routes
+from .ranking import HIST, ROUTES, history
 from .search import nq, seeds
 
 THREE = ROUTES.replace("rt as (", "rt as (select request, item, 'usercf' as route, cast(collect + 2 * share as double) as score from imp where position % 4 <> 1 union all ")
@@ -22,8 +22,12 @@ NORMED = f"""{THREE}, n as (select *, case when max(score) over w = min(score) o
 
 
 def three_routes(spark: SparkSession, d: str) -> DataFrame:
-    score = (F.col("collect") + 2 * F.col("share")).cast("double")
-    return routes(spark, d).unionByName(impressions(spark, d).where("position % 4 <> 1").select("request", "item", F.lit("usercf").alias("route"), score.alias("score")))
+    """routes and a third, from one reading of the impressions, so rows stay dealt by request."""
+    c = F.col
+    parts = [("ann", c("position") % 3 != 0, c("price")), ("swing", c("position") % 2 == 1, c("page_time")), ("usercf", c("position") % 4 != 1, c("collect") + 2 * c("share"))]
+    found = F.array(*(F.when(held, F.struct(F.lit(name).alias("route"), score.cast("double").alias("score"))) for name, held, score in parts))
+    rows = impressions(spark, d).select("request", "item", F.explode(found).alias("_x")).where("_x is not null")
+    return rows.select("request", "item", "_x.route", "_x.score")
 
 
 @query(f"""with {NORMED}, m as (select request, item, max(case when route = 'ann' then norm end) as a, max(case when route = 'swing' then norm end) as s, max(case when route = 'usercf' then norm end) as u from n group by 1, 2)
