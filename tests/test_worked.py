@@ -64,8 +64,9 @@ def test_transitions_are_dealt_once_and_lists_are_not_sent_to_each_request(spark
 
     plan = recall.sequence_transitions(spark.createDataFrame([(1, 0, 7, 2.0)], "src long, recency int, dst long, y double"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
-    found = __spark_entry__.queries()["transition_recall"](spark, "/root/testdata/sf0.001")
-    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # shares are written by then
+    for name in ("transition_recall", "offline_rec_recall"):
+        found = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString(), name  # shares are written by then
 
 
 def test_edges_fall_back_to_clicks(spark):
