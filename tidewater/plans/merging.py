@@ -54,8 +54,7 @@ def quota_order(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def quota_rank_order(spark: SparkSession, d: str) -> DataFrame:
     """The online merge, by reciprocal ranks. No SQL, as above."""
-    rows = three_normed(spark, d)
-    out = quota.merged_by_ranks(rows, serving.route_weights(rows, {"swing": 0.8}), "rec", 6)
+    out = quota.merged_by_ranks(serving.weighed(three_normed(spark, d), {"swing": 0.8}), None, "rec", 6)
     return out.withColumn("recall_score", F.round("recall_score", 6))
 
 
