@@ -69,6 +69,17 @@ def test_transitions_are_dealt_once_and_lists_are_not_sent_to_each_request(spark
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString(), name  # shares are written by then
 
 
+def test_similar_users_come_in_shares(spark):
+    graph = spark.createDataFrame([(1, 7, 2.0), (2, 7, 1.0), (3, 7, 3.0), (2, 8, 1.0), (3, 8, 2.0), (4, 9, 1.0)], "user long, item long, score double")
+    near = recall.usercf(graph, 1, 2)
+    a, b = 1 / math.log(4), 1 / math.log(3)
+    n1, n2, n3 = math.sqrt(4 * a), math.sqrt(a + b), math.sqrt(9 * a + 4 * b)
+    found = {r.user: (r.other, r.score) for r in near.collect()}
+    of_3 = (3 * a + 2 * b) / (n2 * n3)
+    assert found == {1: (3, pytest.approx(6 * a / (n1 * n3))), 2: (3, pytest.approx(of_3)), 3: (2, pytest.approx(of_3))}
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()  # shares are written by then
+
+
 def test_edges_fall_back_to_clicks(spark):
     rows = spark.createDataFrame([(1, 2, 0.0, 1), (1, 3, -1.0, 0)], "user long, item long, label double, click int")
     assert recall.edges(rows).count() == 0
