@@ -357,6 +357,33 @@ def test_passages_whose_pieces_come_first_elsewhere(spark):
         assert r.start_word == 30 and r.end_word == 30 + n and r.n_equal == n
 
 
+def test_edited_passages_whose_pieces_come_first_elsewhere(spark):
+    rows = []
+    for at, (every, n) in enumerate((e, n) for e in (10, 20) for n in (52, 100) for _ in range(10)):
+        words = prose(7000 + at, n).split()
+        edited = [f"edit{at}x{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
+        pieces = [words[i : i + 26] for i in range(0, n, 26)]
+        for j, held in enumerate([*pieces, words, edited]):
+            rows.append((10 * at + j + (10 - len(pieces) - 2), f"{prose(8000 + 20 * at + 2 * j, 40)} {' '.join(held)} {prose(8001 + 20 * at + 2 * j, 40)}"))
+    found = {(r.doc_id, r.other_id) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for group in range(4):
+        caught = sum((10 * at + 9, 10 * at + 8) in found for at in range(10 * group, 10 * group + 10))
+        assert caught >= 8, group
+    assert all(d % 10 >= 8 and o % 10 >= 8 for d, o in found)  # pieces are shorter than a passage
+
+
+def test_far_seeds_against_a_plain_search(seed=3):
+    r = random.Random(seed)
+    for n in (0, 1, 5, 80, 400):
+        at = np.array(sorted(r.sample(range(max(3 * n, 1)), n)), np.int64)
+        hashes = np.array([r.getrandbits(64) for _ in range(n)], np.uint64)
+        pair, far = passages.far_seeds(at, hashes)
+        for i, p in enumerate(at.tolist()):
+            ahead = [(int(h) >> 16, int(q) - p) for q, h in zip(at, hashes, strict=True) if passages.REACH <= q - p < passages.REACH + passages.SPREAD]
+            assert far[i] == (min(ahead)[1] if ahead else 0)
+            assert not ahead or pair[i] == passages.mixed(np.array([min(ahead)[0]], np.uint64))[0]
+
+
 def test_edited_passages(spark):
     rows, r = [], random.Random(8)
     for at, (every, n) in enumerate((e, n) for e in (5, 6, 8, 10, 20) for n in (52, 100) for _ in range(10)):
