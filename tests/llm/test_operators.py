@@ -384,6 +384,55 @@ def test_far_seeds_against_a_plain_search(seed=3):
             assert not ahead or pair[i] == passages.mixed(np.array([min(ahead)[0]], np.uint64))[0]
 
 
+def plain_links(rows):
+    """Places of each document that its seed, run or pair links with that one's first document; both are rows of seeds()."""
+    firsts, lasts = {}, {}
+    for doc, seed, place, run, pair, far in rows:
+        for key in (("seed", seed), ("run", seed, run), ("pair", seed, pair)):
+            firsts[key] = min(firsts.get(key, (doc, place, far)), (doc, place, far))
+    short, long = set(), set()
+    for doc, seed, place, run, pair, far in rows:
+        for key, held in ((("seed", seed), True), (("run", seed, run), run is not None), (("pair", seed, pair), pair is not None)):
+            other, at, other_far = firsts[key]
+            if held and other != doc:
+                short.add((doc, other, place, at))
+                if key[0] == "run":
+                    long.add((doc, other, place, at))
+                if key[0] == "pair":
+                    short.add((doc, other, place + far, at + other_far))
+    return short, long
+
+
+def random_seeds(seed, n=3000):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        far = r.choice([0, 28, 29, 31])
+        rows.append((r.randrange(40), r.randrange(150) if r.random() < 0.8 else 7, r.randrange(60), r.choice([None, 0, 1, 2]), r.randrange(3) if far else None, far))
+    return rows
+
+
+SEEDS = "doc_id long, seed long, place int, run int, pair int, far byte"
+
+
+def test_links_against_a_plain_search(spark):
+    rows = random_seeds(1)
+    linked = passages.links(spark.createDataFrame(rows, SEEDS))
+    assert linked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # one shuffle of the places
+    found = {tuple(r) for r in linked.collect()}
+    long = {(d, o, -1 - p, q) for d, o, p, q in found if p < 0}
+    assert ({x for x in found if x[2] >= 0} | long, long) == plain_links(rows)
+
+
+def test_links_of_copies_are_given_once(spark):
+    text = prose(31, 200)
+    seeded = passages.seeds(spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")).cache()
+    runs, pairs = (seeded.where(f"doc_id > 0 and {c} is not null").count() for c in ("run", "pair"))
+    without = seeded.where("doc_id > 0 and run is null").count()
+    assert passages.links(seeded).count() == runs + pairs + without
+    assert len(passages.passages(spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")).collect()) == 2
+
+
 def test_edited_passages(spark):
     rows, r = [], random.Random(8)
     for at, (every, n) in enumerate((e, n) for e in (5, 6, 8, 10, 20) for n in (52, 100) for _ in range(10)):
