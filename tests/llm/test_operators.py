@@ -424,6 +424,27 @@ def test_links_against_a_plain_search(spark):
     assert ({x for x in found if x[2] >= 0} | long, long) == plain_links(rows)
 
 
+def test_places_of_frequent_seeds_are_found_alike(spark):
+    rows = random_seeds(2)
+    for frequent in ("false", "seed = 7", "seed % 3 = 1", "true"):
+        seeded = spark.createDataFrame(rows, SEEDS).withColumn("share", F.expr(f"if({frequent}, -1, seed % 2)").cast("byte"))
+        tables = passages.shared_places(seeded, passes=2)
+        found = {tuple(r) for t in tables for r in t.select("doc_id", "other_id", "place", "other").collect()}
+        long = {(d, o, -1 - p, q) for d, o, p, q in found if p < 0}
+        assert ({x for x in found if x[2] >= 0} | long, long) == plain_links(rows), frequent
+
+
+def test_frequent_seeds(spark):
+    line = prose(41, 30)
+    docs = spark.createDataFrame([(i, f"{prose(9000 + i, 40)} {line} {prose(9100 + i, 40)}") for i in range(60)] + [(None, line), (99, None)], "doc_id long, text string")
+    frequent = passages.frequent_seeds(docs, least=60, sample=1)
+    places = Counter(r.seed for r in passages.seeds(docs).collect())
+    assert frequent and sorted(frequent) == sorted(s for s, n in places.items() if n >= 60)
+    seeded = passages.seeds(docs, frequent=frequent).collect()
+    assert {r.seed for r in seeded if r.share < 0} == set(frequent) and {r.share for r in seeded} <= set(range(-1, passages.PASSES))
+    assert passages.frequent_seeds(docs.where("false")) == []
+
+
 def test_links_of_copies_are_given_once(spark):
     text = prose(31, 200)
     seeded = passages.seeds(spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")).cache()
