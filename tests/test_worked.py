@@ -80,6 +80,31 @@ def test_similar_users_come_in_shares(spark):
     assert "Join" not in near._jdf.queryExecution().executedPlan().toString()  # shares are written by then
 
 
+def test_items_of_similar_users_are_found_in_shares_and_kept_small(spark):
+    import random
+
+    draw = random.Random(3)
+    edges = {(draw.randrange(40) * 300, draw.choice([None, -7, 1 << 40, *range(20)])): draw.choice([0.5, 1.0, draw.random()]) for _ in range(400)}
+    graph = spark.createDataFrame([(u, i, s) for (u, i), s in edges.items()], "user long, item long, score double")
+    near = {(r.user, r.other): r.score for r in recall.usercf(graph, 5, 1).collect()}
+    sums = {}
+    for (u, v), x in near.items():
+        for (w, i), s in edges.items():
+            if w == v:
+                sums[u, i] = sums.get((u, i), 0.0) + x * s
+    want = {}
+    for (u, i), s in sums.items():
+        want.setdefault(u, []).append((-round(s, 9), i is not None, i or 0, i, s))
+    want = {(u, x[3]): x[4] for u, rows in want.items() for x in sorted(rows)[:6]}
+    for digits, shares in ((None, 3), (6, 2)):
+        out = recall.usercf_recall(graph, 5, 6, digits, shares)
+        rows = {(r.user, r.item): r.score for r in out.collect()}
+        assert rows.keys() == want.keys()
+        assert all(rows[k] == (pytest.approx(want[k]) if digits is None else round(want[k], 6)) for k in want)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # found in shares, whose shuffles are gone by then
+        assert len(out.inputFiles()) > 0 and all("/found-" in f for f in out.inputFiles())  # one compressed table for each share
+
+
 def test_edges_fall_back_to_clicks(spark):
     rows = spark.createDataFrame([(1, 2, 0.0, 1), (1, 3, -1.0, 0)], "user long, item long, label double, click int")
     assert recall.edges(rows).count() == 0
